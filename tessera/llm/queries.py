@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op1
+from tessera.llm.counts import op8
 from tessera.llm.jaccard import op5
+from tessera.llm.mixing import OP10_SQL, op10
+from tessera.llm.tokenio import op6
 
-QUERIES = {"op5_jaccard_join": op5}
+QUERIES = {
+    "op1_bpe_chunks": op1,
+    "op5_jaccard_join": op5,
+    "op6_token_files": op6,
+    "op8_token_counts": op8,
+    "op10_mixing": op10,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
