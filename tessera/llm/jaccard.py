@@ -249,6 +249,21 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
+    """The row of the smallest doc_id of each component, unchanged.
+
+    Of rows that repeat a doc_id one stays; a row without doc_id can't be told
+    from its copies and goes. Texts without words stand alone and stay.
+    """
+    groups = similar_groups(docs, **settings)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.session import table
 

@@ -86,6 +86,26 @@ def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int,
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part")
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows that the mix takes: each as often as it has whole epochs, and the last one of a source in part.
+
+    A document taken in part is cut to its first words, joined by blanks, and
+    n_chars, if there, follows. Rows of size 0 are not taken. Rows are met with
+    the plan by doc_id: those without one go, and repeated ids are taken alike,
+    as the one of them that the plan takes most of.
+    """
+    plan = mix_plan(docs, **settings).filter("taken > 0").groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size"))
+    rows = docs.join(plan, "doc_id")
+    copies = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    part = (F.col("_copy") > F.col("_epochs")) & (F.col("_part") < F.col("_size"))
+    words = F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != "")
+    rows = rows.withColumn("text", F.when(part, F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
