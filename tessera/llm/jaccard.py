@@ -161,23 +161,57 @@ def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), _lists(np.concatenate(([0], np.cumsum(sizes))), h), *columns], ["doc_id", "n_shingles", "shingles", "own", "prev"])
 
 
-def _cell(pdf: pd.DataFrame, bands: Bands) -> pd.DataFrame:
-    """Pairs of one block pair whose sketches are near enough and whose components differ."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("rep")
-    sketch = np.array([np.asarray(x, dtype=np.int64) for x in pdf["sketch"]]).view(np.uint64)
-    size, label, rep, block = (pdf[c].to_numpy() for c in ("n_shingles", "label", "rep", "block"))
-    left, right = (np.arange(len(pdf)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
-    a, b = [], []
-    for x in left:
-        rest = right[right > x] if i == j else right
-        rest = rest[(label[rest] != label[x]) & (np.minimum(size[rest], size[x]) * bands.den >= np.maximum(size[rest], size[x]) * bands.num)]
-        if len(rest):
-            apart = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            rest = rest[apart <= bands.most_apart(size[rest], size[x])]
-            a.extend([rep[x]] * len(rest))
-            b.extend(rep[rest])
-    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+def _cells(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+    """Pairs of each block pair whose sketches are near enough and whose components differ; rows come sorted by (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+        if not both:
+            continue
+        new = _changes(both[0])
+        yield _near(both[0].slice(0, new[-1]), new[:-1], bands)
+        held = [both[0].slice(new[-1])]
+    if held:
+        yield _near(held[0], _changes(held[0]), bands)
+
+
+def _changes(batch: pa.RecordBatch) -> np.ndarray:
+    """First rows of the cells."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for c in ("key", "i", "j"):
+        x = batch.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _near(batch: pa.RecordBatch, firsts: np.ndarray, bands: Bands) -> pa.RecordBatch:
+    i, j, block, rep, label, size = (batch.column(c).to_numpy() for c in ("i", "j", "block", "rep", "label", "n_shingles"))
+    lists = batch.column("sketch")
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    found = [np.zeros(0, dtype=np.int64)] * 2
+    for a, b in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
+        if b - a < 2 or (label[a:b] == label[a]).all():
+            continue
+        rows = np.arange(a, b)
+        sketch = flat[at[a] : at[b]].reshape(b - a, -1)
+        same = i[a] == j[a]
+        left, right = (rows, rows) if same else (rows[block[a:b] == i[a]], rows[block[a:b] == j[a]])
+        step = max(1, (1 << 18) // max(1, len(right) * sketch.shape[1]))
+        for x in range(0, len(left), step):
+            some = left[x : x + step]
+            p, q = size[some][:, None], size[right][None, :]
+            near = (label[some][:, None] != label[right][None, :]) & (np.minimum(p, q) * bands.den >= np.maximum(p, q) * bands.num)
+            if same:
+                near &= some[:, None] < right[None, :]
+            p, q = np.nonzero(near)
+            p, q = some[p], right[q]
+            for y in range(0, len(p), 4096):
+                u, v = p[y : y + 4096], q[y : y + 4096]
+                apart = np.bitwise_count(sketch[u - a] ^ sketch[v - a]).sum(axis=1, dtype=np.int64)
+                hit = apart <= bands.most_apart(size[u], size[v])
+                found = [np.concatenate(z) for z in zip(found, (rep[u[hit]], rep[v[hit]]), strict=True)] if hit.any() else found
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(*found)), pa.array(np.minimum(*found))], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,7 +271,8 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     sketches = sets.select(F.col("doc_id").alias("rep"), "own", "prev").withColumnRenamed("own", "own_sketch")
     rest = rest.join(sketches, "rep").select("key", "i", "j", "block", "rep", "label", "n_shingles", F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("prev")).alias("sketch"))
-    near = rest.groupBy("key", "i", "j").applyInPandas(partial(_cell, bands=bands), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = rest.mapInArrow(partial(_cells, bands=bands), "a long, b long").distinct()
     more = scratch.write(_verified(near, sets, num, den), "links2")
     links = links.unionByName(more)
     roots = components(links, scratch, "round2-")
