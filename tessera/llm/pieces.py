@@ -24,6 +24,7 @@ from tokenizers import Tokenizer  # noqa: E402
 LONGEST = 64  # characters of a piece that is kept in the cache
 PIECE = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 ODD = re.compile("[\x1c-\x1f]")
+RARE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space but blank and line end
 WORD = re.compile("[\\S\x1c-\x1f]+")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")  # letters that normalizers leave single letters
 
@@ -92,7 +93,12 @@ class PieceEncoder:
 
     def split(self, text: str) -> list[str]:
         if not self.words:
-            return PIECE.findall(text)
+            # With single blanks and line ends only, cutting before each is the same as the pattern, and much quicker.
+            # The pieces then stand for themselves after a blank, but for the first and those that start with a line end.
+            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in RARE):
+                return PIECE.findall(text)
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return [first, *[p if p[0] == "\n" else " " + p for p in rest]] if first else []
         return WORD.findall(text) if ODD.search(text) else text.split()
 
     def _value(self, ids: np.ndarray):
@@ -129,10 +135,14 @@ class PieceEncoder:
     def records(self, text: str) -> list:
         """The value of each piece of a text."""
         pieces = self.split(text)
-        known, fixed = self.cache.young.get, self.fixed.get
-        out = [known(p) for p in pieces] if not self.fixed else [x if (x := fixed(p)) is not None else known(p) for p in pieces]
+        known = self.cache.young.get
+        out = list(map(self.fixed.get if self.fixed else known, pieces))
         if None in out:
             gaps = [i for i, x in enumerate(out) if x is None]
+            if self.fixed:
+                for i in gaps:
+                    out[i] = known(pieces[i])
+                gaps = [i for i in gaps if out[i] is None]
             new = dict.fromkeys([pieces[i] for i in gaps])
             old = self.cache.old.get
             for p in new:

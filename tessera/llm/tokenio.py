@@ -77,7 +77,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, root: str,
     part = TaskContext.get().partitionId()
     fs, base = pyarrow.fs.FileSystem.from_uri(root)
     name, own = f"part-{part:08d}", f"{base}/.{uuid.uuid4().hex}"
-    coder = worker_encoder(("io", path), lambda: PieceEncoder(path, limit=150_000))
+    coder = worker_encoder(("io", path), lambda: PieceEncoder(path, limit=300_000))
     kind, docs, total = id_type(path), 0, 0
     end = np.array([end_id], dtype=kind)
     with fs.open_output_stream(f"{own}.ids") as ids_sink, fs.open_output_stream(f"{own}.docs") as docs_sink:
