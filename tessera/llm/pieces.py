@@ -71,6 +71,13 @@ class Cache:
         self.young[key] = value
 
 
+def _key(piece: str) -> str | tuple[str]:
+    """The word alone for a blank and a word; a line end and a word stay; all else goes in a tuple."""
+    if len(piece) > 1 and piece[0] in " \n" and not piece[1].isspace():
+        return piece[1:] if piece[0] == " " else piece
+    return (piece,)
+
+
 class PieceEncoder:
     """Texts to the ids of their pieces, as bytes of the vocabulary's id type, or with `lengths` to their numbers of ids.
 
@@ -92,15 +99,30 @@ class PieceEncoder:
             self.weight[i] = name.endswith("</w>") if self.words else len(name.encode() if name in added else name)
 
     def split(self, text: str) -> list[str]:
+        """The pieces of a text."""
         if not self.words:
-            # With single blanks and line ends only, cutting before each is the same as the pattern, and much quicker.
-            # The pieces then stand for themselves after a blank, but for the first and those that start with a line end.
-            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in RARE):
-                return PIECE.findall(text)
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [first, *[p if p[0] == "\n" else " " + p for p in rest]] if first else []
+            return PIECE.findall(text)
         return WORD.findall(text) if ODD.search(text) else text.split()
 
+    def keys(self, text: str) -> list:
+        """What the pieces of a text are kept by: themselves, but a blank and a word by the word alone.
+
+        Where a text has single blanks and line ends only, cutting before each is
+        the same as the pattern, and much quicker.
+        """
+        if self.words:
+            return self.split(text)
+        if not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace() or any(c in text for c in RARE):
+            return list(map(_key, PIECE.findall(text)))
+        out: list = text.replace("\n", " \n").split(" ")
+        out[0] = (out[0],)
+        return out
+
+    def _piece(self, key) -> str:
+        if self.words:
+            return key
+        return key[0] if type(key) is tuple else key if key[0] == "\n" else " " + key
+
     def _value(self, ids: np.ndarray):
         return len(ids) if self.lengths else ids.tobytes()
 
@@ -134,7 +156,7 @@ class PieceEncoder:
 
     def records(self, text: str) -> list:
         """The value of each piece of a text."""
-        pieces = self.split(text)
+        pieces = self.keys(text)
         known = self.cache.young.get
         out = list(map(self.fixed.get if self.fixed else known, pieces))
         if None in out:
@@ -151,9 +173,9 @@ class PieceEncoder:
                     self.cache.put(p, x)
             miss = [p for p, x in new.items() if x is None]
             if miss:
-                for p, x in zip(miss, self.encoded(miss), strict=True):
+                for p, x in zip(miss, self.encoded(list(map(self._piece, miss))), strict=True):
                     new[p] = x
-                    if len(p) <= LONGEST:
+                    if len(p if type(p) is str else p[0]) <= LONGEST:
                         self.cache.put(p, x)
             for i in gaps:
                 out[i] = new[pieces[i]]

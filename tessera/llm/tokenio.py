@@ -77,15 +77,15 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, root: str,
     part = TaskContext.get().partitionId()
     fs, base = pyarrow.fs.FileSystem.from_uri(root)
     name, own = f"part-{part:08d}", f"{base}/.{uuid.uuid4().hex}"
-    coder = worker_encoder(("io", path), lambda: PieceEncoder(path, limit=300_000))
+    coder = worker_encoder(("io", path), lambda: PieceEncoder(path, limit=550_000))
     kind, docs, total = id_type(path), 0, 0
-    end = np.array([end_id], dtype=kind)
+    end = np.array([end_id], dtype=kind).tobytes()
     with fs.open_output_stream(f"{own}.ids") as ids_sink, fs.open_output_stream(f"{own}.docs") as docs_sink:
         writer, index = SequenceWriter(ids_sink, kind, length, rows), pa.ipc.new_stream(docs_sink, _DOCS)
         for batch in batches:
             starts, sizes = [], []
-            for text in batch.column(1):
-                ids = np.concatenate([np.frombuffer(b"".join(coder.records(text.as_py() or "")), dtype=kind), end])
+            for text in batch.column(1).to_pylist():
+                ids = np.frombuffer(b"".join(coder.records(text or "")) + end, dtype=kind)
                 writer.append(ids)
                 starts.append(total)
                 sizes.append(len(ids))
