@@ -107,17 +107,26 @@ def _segmented(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBat
 
 
 def _frequent(words: DataFrame, size: int) -> list:
-    """The most frequent rows of (word, n): a bounded model, counted over everything."""
-    return words.orderBy(F.col("n").desc(), "word").limit(size).collect()
+    """At most `size` of the most frequent rows of a written table (word, n): those above the lowest count for which all fit.
+
+    Only that many rows come to the driver, not so many of each task.
+    """
+    least, held = 1, 0
+    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).toLocalIterator():
+        held += r.words
+        if held > size:
+            least = r.n + 1
+            break
+    return words.filter(F.col("n") >= least).collect()
 
 
-def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, float]:
+def unigrams(pages: DataFrame, scratch: Scratch, size: int = VOCABULARY) -> dict[str, float]:
     """Log probabilities of the most frequent words of all page texts and of the parts of hyphened host names."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col("html").cast("string"), F.lit(""))), "<[^>]*>", " ")
     words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word"))
     names = pages.select(F.explode(F.split("host", "[.]")).alias("name")).filter("name LIKE '%-%'").select(F.explode(F.split("name", "[^\\p{L}]+")).alias("word"))
     counts = words.unionByName(names).filter(f"length(word) BETWEEN 2 AND {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    n = {r.word: r.n for r in _frequent(counts, size)}
+    n = {r.word: r.n for r in _frequent(scratch.write(counts, "words"), size)}
     for w in SEEDS:
         n[w] = n.get(w, 0) + 1
     total = sum(n.values())
@@ -136,14 +145,14 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int =
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
     host, path = parts_of(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    logs = unigrams(parsed, size)
+    logs = unigrams(parsed, scratch, size)
     unknown = min(logs.values()) - math.log(26)
     held = spark.sparkContext.broadcast((logs, unknown))
     kind = parsed.schema["page_id"].dataType.simpleString()
     cut = scratch.write(parsed.select("page_id", "host", "path").mapInArrow(partial(_segmented, held=held), f"page_id {kind}, host string, path string, tokens array<string>, seeded boolean"), "segmented")
     seen = cut.filter("host <> ''")
     counts = seen.select("seeded", F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seeded").cast("long")).alias("bad"))
-    model = {r.word: (r.bad, r.n - r.bad) for r in _frequent(counts, size)}
+    model = {r.word: (r.bad, r.n - r.bad) for r in _frequent(scratch.write(counts, "tokens"), size)}
     urls = seen.agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad_urls = urls.bad or 0
     for w in SEEDS:
