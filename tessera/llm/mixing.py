@@ -94,18 +94,25 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     the plan by doc_id: those without one go, and repeated ids are taken alike,
     as the one of them that the plan takes most of.
     """
-    plan = mix_plan(docs, **settings).filter("taken > 0").groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size"))
-    rows = docs.join(plan, "doc_id")
-    copies = F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    part = (F.col("_copy") > F.col("_epochs")) & (F.col("_part") < F.col("_size"))
+    epochs, part, size, copy = (_free(docs, x) for x in ("epochs", "part", "size", "copy"))
+    plan = mix_plan(docs, **settings).filter("taken > 0").groupBy("doc_id").agg(F.max("epochs").alias(epochs), F.max("part").alias(part), F.max("size").alias(size))
+    copies = F.col(epochs) + F.when(F.col(part) > 0, 1).otherwise(0)
+    rows = docs.join(plan, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut = (F.col(copy) > F.col(epochs)) & (F.col(part) < F.col(size))
     words = F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != "")
-    rows = rows.withColumn("text", F.when(part, F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), " ")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
