@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import LONGEST, PieceEncoder, public_path, worker_encoder
+from tessera.llm.pieces import LONGEST, PieceEncoder, groups, public_path, worker_encoder
 from tessera.llm.trees import merged
 from tessera.session import table
 
@@ -71,12 +71,12 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, lengths) -> Iterator[
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        count = lambda text: len(model.encode(text))
+        count = lambda texts: [len(model.encode(x)) for x in texts]
     else:
         encoder = worker_encoder(("counts", path, lengths.id), lambda: PieceEncoder(path, lengths=True, limit=250_000, fixed=lengths.value))
-        count = lambda text: sum(encoder.records(text))
+        count = lambda texts: list(map(sum, encoder.records_of(texts)))
     for batch in batches:
-        n = [count(x.as_py()) if x.is_valid else 0 for x in batch.column(1)]
+        n = [x for run in groups(batch.column(1).to_pylist()) for x in count(run)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 

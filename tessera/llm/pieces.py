@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -156,16 +157,25 @@ class PieceEncoder:
 
     def records(self, text: str) -> list:
         """The value of each piece of a text."""
-        pieces = self.keys(text)
+        return self._values(self.keys(text))
+
+    def records_of(self, texts: list[str]) -> list[list]:
+        """The values of each text's pieces; what is missing goes to the library at once."""
+        keys = list(map(self.keys, texts))
+        values = self._values(list(chain.from_iterable(keys)))
+        ends = list(accumulate(map(len, keys)))
+        return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _values(self, keys: list) -> list:
         known = self.cache.young.get
-        out = list(map(self.fixed.get if self.fixed else known, pieces))
+        out = list(map(self.fixed.get if self.fixed else known, keys))
         if None in out:
             gaps = [i for i, x in enumerate(out) if x is None]
             if self.fixed:
                 for i in gaps:
-                    out[i] = known(pieces[i])
+                    out[i] = known(keys[i])
                 gaps = [i for i in gaps if out[i] is None]
-            new = dict.fromkeys([pieces[i] for i in gaps])
+            new = dict.fromkeys([keys[i] for i in gaps])
             old = self.cache.old.get
             for p in new:
                 if (x := old(p)) is not None:
@@ -178,10 +188,23 @@ class PieceEncoder:
                     if len(p if type(p) is str else p[0]) <= LONGEST:
                         self.cache.put(p, x)
             for i in gaps:
-                out[i] = new[pieces[i]]
+                out[i] = new[keys[i]]
         return out
 
 
+def groups(texts: list[str | None], chars: int = 1 << 18) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters; nulls as empty texts."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text or "")
+        size += len(run[-1])
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
