@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import PieceEncoder, groups, id_type, public_path, worker_encoder
+from tessera.llm.pieces import PieceEncoder, id_type, public_path, worker_encoder
 from tessera.session import Scratch, table
 
 LENGTH, ROWS = 1024, 256
@@ -84,13 +84,12 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, root: str,
         writer, index = SequenceWriter(ids_sink, kind, length, rows), pa.ipc.new_stream(docs_sink, _DOCS)
         for batch in batches:
             starts, sizes = [], []
-            for run in groups(batch.column(1).to_pylist()):
-                for values in coder.records_of(run):
-                    ids = np.frombuffer(b"".join(values) + end, dtype=kind)
-                    writer.append(ids)
-                    starts.append(total)
-                    sizes.append(len(ids))
-                    total += len(ids)
+            for text in batch.column(1).to_pylist():
+                ids = np.frombuffer(b"".join(coder.records(text or "")) + end, dtype=kind)
+                writer.append(ids)
+                starts.append(total)
+                sizes.append(len(ids))
+                total += len(ids)
             docs += len(sizes)
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_DOCS))
         writer.close()
