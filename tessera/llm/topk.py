@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: i
         by_width: dict[int, list[int]] = {}
         for place, r in enumerate(some):
             by_width.setdefault(len(r.v), []).append(place)
-        groups = {w: (np.array(p), np.array([some[x].v for x in p], dtype=np.int64).reshape(-1, w)) for w, p in by_width.items()}
+        groups = {w: (np.array(p), np.array([some[x].v for x in p], dtype=np.int64).reshape(len(p), w)) for w, p in by_width.items()}
         for places, matrix in groups.values():
             _needed(places, ids, matrix, k, need)
         held = spark.sparkContext.broadcast((ids, groups, need))

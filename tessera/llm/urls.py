@@ -133,7 +133,7 @@ def unigrams(pages: DataFrame, scratch: Scratch, size: int = VOCABULARY) -> dict
     return {w: math.log(c / total) for w, c in n.items()}
 
 
-def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int = VOCABULARY, seed_weight: float = 5.0) -> DataFrame:
+def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int = VOCABULARY, strength: float = 10.0, seed_share: float = 0.3) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (page_id, url, html).
 
     The longest rule that fits decides; else the model: block where the log odds
@@ -155,11 +155,7 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int =
     model = {r.word: (r.bad, r.n - r.bad) for r in _frequent(scratch.write(counts, "tokens"), size)}
     urls = seen.agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad_urls = urls.bad or 0
-    for w in SEEDS:
-        bad, good = model.get(f"h:{w}", (0, 0))
-        model[f"h:{w}"] = (bad + seed_weight, good)
-    bad_total, good_total = (sum(x[i] for x in model.values()) for i in (0, 1))
-    odds = {w: math.log((b + 1) / (bad_total + len(model))) - math.log((g + 1) / (good_total + len(model))) for w, (b, g) in model.items()}
+    odds = _log_odds(model, strength, seed_share)
     prior = math.log((bad_urls + 1) / ((urls.n or 0) - bad_urls + 1))
     weights = spark.sparkContext.broadcast((odds, prior))
     scored = cut.mapInArrow(partial(_scored, held=weights), f"page_id {kind}, host string, path string, score double")
@@ -171,6 +167,23 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int =
     return scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "score")
 
 
+def _log_odds(counts: dict[str, tuple[int, int]], strength: float, seed_share: float) -> dict[str, float]:
+    """log P(word | block) - log P(word | allow) from (block, allow) counts.
+
+    Both are smoothed by `strength` words' worth of the overall distribution, of
+    which the seeds have `seed_share` on the side of block.
+    """
+    counts = {f"h:{w}": (0, 0) for w in SEEDS} | counts
+    bad, good = (sum(x[i] for x in counts.values()) for i in (0, 1))
+    seeds = {f"h:{w}" for w in SEEDS}
+    out = {}
+    for word, (b, g) in counts.items():
+        overall = (b + g + 1) / (bad + good + len(counts))
+        lean = (1 - seed_share) * overall + seed_share * (word in seeds) / len(seeds)
+        out[word] = math.log((b + strength * lean) / (bad + strength)) - math.log((g + strength * overall) / (good + strength))
+    return out
+
+
 def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     odds, prior = held.value
     for batch in batches:
