@@ -98,6 +98,8 @@ class PieceEncoder:
         for name, i in names.items():
             self.weight[i] = name.endswith("</w>") if self.words else len(name.encode() if name in added else name)
 
+        self.stops = dict(zip(".,", self.encoded([".", ","]), strict=True))
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text."""
         if not self.words:
@@ -154,6 +156,33 @@ class PieceEncoder:
                 out[i] = self._value(np.array(e.ids, dtype=self.kind))
         return out
 
+    def _fill(self, new: dict) -> None:
+        """Values for the keys that have none: a plain word with a stop has the word's ids and then the stop's."""
+        miss = {p: None for p, x in new.items() if x is None}
+        stopped = [p for p in miss if type(p) is str and p[-1] in ".," and PLAIN.fullmatch(p)]
+        stems = {}
+        for p in stopped:
+            del miss[p]
+            stem = p[:-1]
+            for held in (self.cache.young, self.cache.old, new, self.fixed):
+                if (x := held.get(stem)) is not None:
+                    stems[stem] = x
+                    break
+            else:
+                miss[stem] = None
+        if miss:
+            for p, x in zip(miss, self.encoded(list(map(self._piece, miss))), strict=True):
+                miss[p] = x
+                if len(p if type(p) is str else p[0]) <= LONGEST:
+                    self.cache.put(p, x)
+                if p in new:
+                    new[p] = x
+        for p in stopped:
+            x = stems.get(p[:-1])
+            new[p] = x = (miss[p[:-1]] if x is None else x) + self.stops[p[-1]]
+            if len(p) <= LONGEST:
+                self.cache.put(p, x)
+
     def records(self, text: str) -> list:
         """The value of each piece of a text."""
         pieces = self.keys(text)
@@ -171,12 +200,7 @@ class PieceEncoder:
                 if (x := old(p)) is not None:
                     new[p] = x
                     self.cache.put(p, x)
-            miss = [p for p, x in new.items() if x is None]
-            if miss:
-                for p, x in zip(miss, self.encoded(list(map(self._piece, miss))), strict=True):
-                    new[p] = x
-                    if len(p if type(p) is str else p[0]) <= LONGEST:
-                        self.cache.put(p, x)
+            self._fill(new)
             for i in gaps:
                 out[i] = new[pieces[i]]
         return out
