@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return one_of_each_group(docs)
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return one_of_each_group(docs, k=5, num=4, den=5)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

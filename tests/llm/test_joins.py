@@ -90,6 +90,46 @@ def test_one_of_each_group(odd_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
 
 
+def left_by_brute_force(rows, k, num, den):
+    """Smallest doc_id of each component, by comparing all documents that share a shingle; every doc_id is there once."""
+    sets, root, holders = {}, {}, {}
+    for i, text in rows:
+        w = WORD.findall((text or "").encode().lower())
+        sets[i] = {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+        root[i] = i
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        shared = {}
+        for s in sets[i]:
+            for j in holders[s]:
+                shared[j] = shared.get(j, 0) + (j < i)
+        for j, n in shared.items():
+            if j < i and den * n >= num * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(i for i in sets if find(i) == i)
+
+
+def test_near_duplicates_stage_takes_five_words_and_four_fifths(spark):
+    random.seed(4)
+    base = [[f"w{random.randrange(5000)}" for _ in range(n)] for n in (100, 150)]
+    texts = [base[0], base[0] + [f"t{i}" for i in range(15)], base[0][:70] + ["x"] + base[0][71:], base[0] + [f"u{i}" for i in range(40)], base[1], [*base[1][:50], "y", *base[1][51:100], "z", *base[1][101:]], base[1][:4], base[1][:4]]
+    small = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    assert left_by_brute_force(small, 5, 4, 5) == [0, 3, 4, 6]
+    large = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    for rows in (small, large):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert sorted(r.doc_id for r in got.collect()) == left_by_brute_force(rows, 5, 4, 5)
+
+
 def brute_top(rows, k=10, every=100):
     out = set()
     ok = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
