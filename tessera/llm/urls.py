@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tessera.session import Scratch, table
 
-VOCABULARY = 50_000  # words of the unigram and of the Bayes model, the most frequent ones
 LONGEST = 24  # letters of a word that a name may hold
 #: Words of hosts that are to be blocked.
 SEEDS = ("ads", "adult", "bet", "bets", "bingo", "casino", "escort", "gambling", "jackpot", "lottery", "pharma", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx")
@@ -106,34 +105,37 @@ def _segmented(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string())), pa.array(seeded, pa.bool_())], [*batch.schema.names, "tokens", "seeded"])
 
 
-def _frequent(words: DataFrame, size: int) -> list:
-    """At most `size` of the most frequent rows of a written table (word, n): those above the lowest count for which all fit.
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a word in the names of these hosts can be."""
+    for batch in batches:
+        names = {name for host in batch.column("host").to_pylist() for name in _WORD.findall(host)}
+        parts = {name[a:b] for name in names for a in range(len(name)) for b in range(a + 2, min(len(name), a + LONGEST) + 1)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.string())], ["word"])
 
-    Only that many rows come to the driver, not so many of each task.
-    """
-    least, held = 1, 0
-    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).toLocalIterator():
-        held += r.words
-        if held > size:
-            least = r.n + 1
-            break
-    return words.filter(F.col("n") >= least).collect()
 
+def unigrams(pages: DataFrame, scratch: Scratch) -> tuple[dict[str, float], float]:
+    """Log probabilities of words, and the least of any word.
 
-def unigrams(pages: DataFrame, scratch: Scratch, size: int = VOCABULARY) -> dict[str, float]:
-    """Log probabilities of the most frequent words of all page texts and of the parts of hyphened host names."""
+    All words of page texts and of the parts of hyphened host names are counted
+    in a written table. Of those the ones that some host name here holds, the
+    only ones that a split can use, come to the driver.
+    """
     text = F.regexp_replace(F.lower(F.coalesce(F.col("html").cast("string"), F.lit(""))), "<[^>]*>", " ")
     words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word"))
     names = pages.select(F.explode(F.split("host", "[.]")).alias("name")).filter("name LIKE '%-%'").select(F.explode(F.split("name", "[^\\p{L}]+")).alias("word"))
     counts = words.unionByName(names).filter(f"length(word) BETWEEN 2 AND {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    n = {r.word: r.n for r in _frequent(scratch.write(counts, "words"), size)}
-    for w in SEEDS:
-        n[w] = n.get(w, 0) + 1
-    total = sum(n.values())
-    return {w: math.log(c / total) for w, c in n.items()}
-
-
-def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int = VOCABULARY, strength: float = 10.0, seed_share: float = 0.3) -> DataFrame:
+    counts = scratch.write(counts, "words")
+    usable = pages.select("host").distinct().mapInArrow(_substrings, "word string").distinct()
+    n = {r.word: r.n for r in counts.join(usable, "word", "left_semi").collect()}
+    seeded = {r.word: r.n for r in counts.filter(F.col("word").isin(*SEEDS)).collect()}
+    n |= {w: seeded.get(w, 0) + 1 for w in SEEDS}
+    others = counts.filter(~F.col("word").isin(*SEEDS)).agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    total = (others.n or 0) + sum(n[w] for w in SEEDS)
+    least = min(n[w] for w in SEEDS) if others.least is None else min(others.least, *(n[w] for w in SEEDS))
+    return {w: math.log(c / total) for w, c in n.items()}, math.log(least / total)
+
+
+def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, strength: float = 10.0, seed_share: float = 0.3) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (page_id, url, html).
 
     The longest rule that fits decides; else the model: block where the log odds
@@ -145,14 +147,14 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, size: int =
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
     host, path = parts_of(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    logs = unigrams(parsed, scratch, size)
-    unknown = min(logs.values()) - math.log(26)
+    logs, least = unigrams(parsed, scratch)
+    unknown = least - math.log(26)
     held = spark.sparkContext.broadcast((logs, unknown))
     kind = parsed.schema["page_id"].dataType.simpleString()
     cut = scratch.write(parsed.select("page_id", "host", "path").mapInArrow(partial(_segmented, held=held), f"page_id {kind}, host string, path string, tokens array<string>, seeded boolean"), "segmented")
     seen = cut.filter("host <> ''")
     counts = seen.select("seeded", F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seeded").cast("long")).alias("bad"))
-    model = {r.word: (r.bad, r.n - r.bad) for r in _frequent(scratch.write(counts, "tokens"), size)}
+    model = {r.word: (r.bad, r.n - r.bad) for r in counts.collect()}  # every word that a url here has
     urls = seen.agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad_urls = urls.bad or 0
     odds = _log_odds(model, strength, seed_share)

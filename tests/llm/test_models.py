@@ -1,5 +1,6 @@
 """Language ID, quality rules, quality classifier and URL filters."""
 
+import math
 import re
 from pathlib import Path
 from zlib import crc32
@@ -129,3 +130,19 @@ def test_blocked_hosts_of_the_pages(spark):
     bad = re.compile("casino|adult|pills|spam|ads-|bets")
     assert {bool(bad.search(r.host)) == (r.verdict == "block") for r in got} == {True}
     assert Path(DATA).exists()
+
+
+def test_rare_words_of_hosts_keep_their_counts(spark):
+    """60,000 more frequent words in the pages: a host's own rare word still splits its name, a rare path word still scores."""
+    letters = "abcdefghijklmnopqrst"
+    filler = ["q" + a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8]][:60_000]
+    text = " ".join(filler)
+    rows = [(i, f"http://www.example.org/{i}", f"<p>{text}</p>") for i in range(3)]
+    rows += [(10, "http://zebrabetsky.example.org/", "<p>zebrabetsky</p>"), (11, "http://casinohouse.example.org/rarepath", "<p>house</p>")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()}
+    assert got[10].verdict == "allow" and got[11].verdict == "block"
+    parsed = spark.createDataFrame([(u.split("/")[2], h) for _, u, h in rows], "host string, html string")
+    logs, least = urls.unigrams(parsed, urls.Scratch(spark, "test"))
+    total = 3 * len(filler) + 2 + len(urls.SEEDS)
+    assert logs["zebrabetsky"] == logs["house"] == least == math.log(1 / total)
+    assert urls.Segmenter(logs, least - math.log(26)).split("zebrabetsky") == ["zebrabetsky"]
