@@ -13,12 +13,14 @@ that have two such segments: for all others a filled one is untouched too.
 Equal sets are one class from the start. Candidates first meet the most central
 member of each bucket; buckets whose members are then still in several
 components are compared fully, in blocks, by Hamming distance. Every pair that
-survives is verified on the sets. Nothing is capped, so no link is lost.
+survives is verified on the sets. Nothing is capped, so no component is torn.
+Then the links inside each component are counted, by comparing the sets of all
+its members in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,6 +34,7 @@ from tessera.llm.textvec import mix, slices, windows
 from tessera.session import Scratch
 
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 FILTER_BITS = 1 << 23
 _KEYS = "doc_id long, n_shingles long, h1 long, h2 long, own_keys array<long>, prev_keys array<long>"
 _SETS = "doc_id long, n_shingles long, shingles array<long>, own array<long>, prev array<long>"
@@ -161,18 +164,19 @@ def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), _lists(np.concatenate(([0], np.cumsum(sizes))), h), *columns], ["doc_id", "n_shingles", "shingles", "own", "prev"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Pairs of each block pair whose sketches are near enough and whose components differ; rows come sorted by (key, i, j)."""
+def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What work makes of whole cells (block pairs) and their first rows; rows come sorted by (key, i, j)."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
         if not both:
             continue
         new = _changes(both[0])
-        yield _near(both[0].slice(0, new[-1]), new[:-1], bands)
+        if len(new) > 1:
+            yield work(both[0].slice(0, new[-1]), new[:-1])
         held = [both[0].slice(new[-1])]
     if held:
-        yield _near(held[0], _changes(held[0]), bands)
+        yield work(held[0], _changes(held[0]))
 
 
 def _changes(batch: pa.RecordBatch) -> np.ndarray:
@@ -186,6 +190,7 @@ def _changes(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _near(batch: pa.RecordBatch, firsts: np.ndarray, bands: Bands) -> pa.RecordBatch:
+    """Pairs of each cell whose sketches are near enough and whose components differ."""
     i, j, block, rep, label, size = (batch.column(c).to_numpy() for c in ("i", "j", "block", "rep", "label", "n_shingles"))
     lists = batch.column("sketch")
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
@@ -214,20 +219,74 @@ def _near(batch: pa.RecordBatch, firsts: np.ndarray, bands: Bands) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(*found)), pa.array(np.minimum(*found))], ["a", "b"])
 
 
+def _degrees(batch: pa.RecordBatch, firsts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """Number of links of each row inside its cell, by the sets."""
+    i, j, block, rep = (batch.column(c).to_numpy() for c in ("i", "j", "block", "rep"))
+    lists = batch.column("shingles")
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    degree = np.zeros(batch.num_rows, dtype=np.int64)
+    for a, b in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
+        size = np.diff(at[a : b + 1]).astype(np.int64)
+        rows, same = np.arange(b - a), i[a] == j[a]
+        left, right = (rows, rows) if same else (rows[block[a:b] == i[a]], rows[block[a:b] == j[a]])
+        if b - a < 2 or not len(left) or not len(right):
+            continue
+        _, code, n = np.unique(flat[at[a] : at[b]], return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(rows, size), n[code] > 1  # shingles of one row only are in no intersection
+        owner, code = owner[shared], (np.cumsum(n > 1) - 1)[code[shared]]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        both = np.zeros((len(left), len(right)))
+        for x in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            some = slice(*np.searchsorted(code, (x, x + 4096)))
+            has = np.zeros((b - a, 4096), dtype=np.float32)
+            has[owner[some], code[some] - x] = 1
+            both += has[left] @ has[right].T
+        linked = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
+        if same:
+            np.fill_diagonal(linked, False)
+        else:
+            degree[a + right] += linked.sum(axis=0)
+        degree[a + left] += linked.sum(axis=1)
+    some = np.flatnonzero(degree)
+    return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(degree[some])], ["rep", "n"])
+
+
+def _link_counts(roots: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """(rep, n_links) of every member of a component.
+
+    All links are inside components. A component of two is one link; in larger
+    ones every two members are compared on their sets once, in blocks of at most
+    about BLOCK sets and BLOCK_SHINGLES shingles. Pairs are counted in the tasks
+    and never become rows.
+    """
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    nodes = scratch.write(nodes.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "nodes")
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    sizes = scratch.write(sizes.select("root", "c", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("g")), "sizes")
+    large = nodes.join(sizes.filter("c > 2"), "root").select(F.col("root").alias("key"), F.col("node").alias("rep"), "g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("block"))
+    large = large.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    large = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    counted = large.mapInArrow(partial(_cells, work=partial(_degrees, num=num, den=den)), "rep long, n long")
+    two = nodes.join(sizes.filter("c = 2"), "root").select(F.col("node").alias("rep"), F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(two).groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return both.filter(f"{den} * n >= {num} * (size(sa) + size(sb) - n)").select("a", "b")
 
 
-def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10, label: str = "jaccard") -> DataFrame:
+def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10, label: str = "jaccard", count_links: bool = True) -> DataFrame:
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of num/den or more.
 
     Takes columns doc_id and text; others are ignored. Words are split at ASCII
     white space after lower-casing A-Z; shingles count once per text. Returns
     doc_id, n_shingles, component_id (smallest doc_id reachable, itself
-    included), set_id (smallest doc_id with the same set) and n_links (other
-    texts' classes linked with this one that were verified). Null or empty texts
+    included), set_id (smallest doc_id with the same set) and n_links (number
+    of other classes of equal sets linked with this one, all of them; null if not count_links). Null or empty texts
     have no shingles and stand alone. Repeated rows give repeated results; a null
     doc_id keeps its row with its set's component, or null where it stands alone.
     Texts of any length are taken whole.
@@ -272,16 +331,18 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     sketches = sets.select(F.col("doc_id").alias("rep"), "own", "prev").withColumnRenamed("own", "own_sketch")
     rest = rest.join(sketches, "rep").select("key", "i", "j", "block", "rep", "label", "n_shingles", F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("prev")).alias("sketch"))
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = rest.mapInArrow(partial(_cells, bands=bands), "a long, b long").distinct()
+    near = rest.mapInArrow(partial(_cells, work=partial(_near, bands=bands)), "a long, b long").distinct()
     more = scratch.write(_verified(near, sets, num, den), "links2")
     links = links.unionByName(more)
     roots = components(links, scratch, "round2-")
 
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = scratch.write(named.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("root"), F.col("rep").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    degree = _link_counts(roots, sets, scratch, num, den) if count_links else None
+    none = F.lit(0 if count_links else None).cast("long")
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.join(degree, "rep", "left") if count_links else named.withColumn("n_links", none)
+    named = scratch.write(named.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("root"), F.col("rep").alias("set_id"), F.coalesce("n_links", none).alias("n_links")), "named")
     out = rows.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", none).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
@@ -290,7 +351,7 @@ def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     Of rows that repeat a doc_id one stays; a row without doc_id can't be told
     from its copies and goes. Texts without words stand alone and stay.
     """
-    groups = similar_groups(docs, **settings)
+    groups = similar_groups(docs, count_links=False, **settings)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")

@@ -90,6 +90,33 @@ def test_one_of_each_group(odd_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
 
 
+def test_every_link_is_counted(spark, odd_docs):
+    """Large groups of mutually linked texts, chains, pairs and equal sets; one component exceeds a block."""
+    random.seed(6)
+    rows = []
+    for size, n, most in ((50, 150, 2), (30, 60, 4), (3, 100, 1), (2, 100, 1), (1, 40, 0)):
+        base = [f"w{random.randrange(4000)}" for _ in range(n)]
+        for _ in range(size):
+            some = list(base)
+            for _ in range(random.randrange(most + 1)):
+                some[random.randrange(n)] = f"v{random.randrange(1000)}"
+            rows += [(len(rows), " ".join(some))] * random.choice([1, 1, 2])
+    import tessera.llm.jaccard as jaccard
+
+    block, jaccard.BLOCK = jaccard.BLOCK, 16
+    try:
+        for docs in (spark.createDataFrame(rows, "doc_id long, text string"), odd_docs.filter("doc_id IS NOT NULL")):
+            sets = {}
+            for r in docs.collect():
+                w = WORD.findall((r.text or "").encode().lower())
+                sets[r.doc_id] = frozenset(tuple(w[a : a + 3]) for a in range(max(1, len(w) - 2))) if w else frozenset()
+            classes = set(sets.values()) - {frozenset()}
+            want = {i: sum(s != t and 10 * len(s & t) >= 9 * len(s | t) for t in classes) if s else 0 for i, s in sets.items()}
+            assert {r.doc_id: r.n_links for r in similar_groups(docs).collect()} == want
+    finally:
+        jaccard.BLOCK = block
+
+
 def left_by_brute_force(rows, k, num, den):
     """Smallest doc_id of each component, by comparing all documents that share a shingle; every doc_id is there once."""
     sets, root, holders = {}, {}, {}
