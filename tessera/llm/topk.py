@@ -10,7 +10,7 @@ Schwarz), and at most the level's largest value times the sum of |q|. When that
 proves nearly all pairs to stay below the score that a member needs, processing
 stops and the pairs that are left are scored exactly. Nothing is approximate.
 
-The needed score starts from the queries among themselves and rises with each
+The needed score starts from some rows of the vectors and rises with each
 block. Queries go out in broadcasts of bounded size, one pass over the vectors
 each, so their number is not bounded by memory.
 """
@@ -30,6 +30,7 @@ from tessera.session import Scratch, table
 ROWS = 2048  # vectors a block
 QUERY_BLOCK = 256
 QUERY_BYTES = 16 << 20  # of one broadcast
+PEERS = 1024  # rows of vectors that the first bound is taken from
 LEVELS, STEP = 10, 0.75
 RESCORE = 0.01  # share of pairs that may be left for exact scoring
 NONE = np.iinfo(np.int64).min
@@ -125,9 +126,8 @@ def _search(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(row), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
-def _needed(places: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, need: np.ndarray, most: int = 1024) -> None:
-    """Scores that the queries reach among themselves: the k-th best is needed at least."""
-    peers, peer_ids = matrix[:most], ids[places[:most]]
+def _needed(places: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, need: np.ndarray, peer_ids: np.ndarray, peers: np.ndarray) -> None:
+    """Scores that the queries reach with some rows of the vectors (peers): the k-th best is needed at least."""
     if len(peers) <= k:
         return
     for a in range(0, len(places), QUERY_BLOCK):
@@ -151,6 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: i
     size = asked.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
     passes = max(1, -(-size // query_bytes))
     parts = []
+    first: dict[int, list] = {}  # by length
+    for r in vectors.limit(PEERS).collect():
+        first.setdefault(len(r.v), []).append(r)
     for i in range(passes):
         some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).collect()  # about query_bytes
         ids = np.array([r.vec_id for r in some], dtype=np.int64)
@@ -159,8 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: i
         for place, r in enumerate(some):
             by_width.setdefault(len(r.v), []).append(place)
         groups = {w: (np.array(p), np.array([some[x].v for x in p], dtype=np.int64).reshape(len(p), w)) for w, p in by_width.items()}
-        for places, matrix in groups.values():
-            _needed(places, ids, matrix, k, need)
+        for w, (places, matrix) in groups.items():
+            peers = first.get(w, [])
+            _needed(places, ids, matrix, k, need, np.array([r.vec_id for r in peers], dtype=np.int64), np.array([r.v for r in peers], dtype=np.int64).reshape(len(peers), w))
         held = spark.sparkContext.broadcast((ids, groups, need))
         found = vectors.mapInArrow(partial(_search, held=held, k=k), "query_id long, vec_id long, score long")
         if passes > 1:

@@ -181,6 +181,20 @@ def test_top_k_of_odd_vectors(spark):
     assert top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_of_queries_that_are_no_candidates(spark):
+    """The queries are like each other and unlike all vectors: what they reach among themselves proves nothing."""
+    rng = np.random.default_rng(3)
+    kind = "vec_id long, v array<long>"
+    queries = [(1000 + i, [1000 + int(x) for x in rng.integers(0, 9, 4)]) for i in range(20)]
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 4)]) for i in range(40)]
+    got = {tuple(r) for r in top_k(spark.createDataFrame(rows, kind), spark.createDataFrame(queries, kind), k=5).collect()}
+    want = set()
+    for q, a in queries:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows)[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert got == want
+
+
 @pytest.mark.parametrize("name, sql", [("embeddings", OP9_SQL), ("documents", OP10_SQL)])
 def test_sql(spark, name, sql):
     path = "/root/testdata/sf0.001"
