@@ -2,8 +2,9 @@
 
 Intermediate tables are written to the folder that the session names in
 ``spark.checkpoint.dir``: every executor and the driver can read it, so a lost
-executor costs only its running tasks. Where the setting is absent (tests,
-local runs) a folder of this process is used.
+executor costs only its running tasks. Where the setting is absent a local
+session (tests) uses a folder of this process; any other one is refused, since
+its executors would not see that folder.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/") if "://" in named else f"file://{os.path.abspath(named)}"
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

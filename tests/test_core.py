@@ -3,13 +3,14 @@
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tessera.plans import core
-from tessera.session import Scratch
+from tessera.session import Scratch, shared_dir
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -50,6 +51,24 @@ def test_imports_without_the_optional_part(tmp_path):
     assert "summary_by_status" in out.stdout and "op1" not in out.stdout, out.stderr
 
 
+def test_imports_where_a_library_of_the_optional_part_is_absent():
+    code = "import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; print(sorted(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert "summary_by_status" in out.stdout and "op1" not in out.stdout and "without tessera.llm.queries" in out.stderr, out.stderr
+
+
+def test_only_local_sessions_do_without_a_shared_folder(spark):
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    assert shared_dir(session("spark://host:7077", "hdfs://host/shared/")) == "hdfs://host/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+
+
 def test_scratch_tables_are_read_back_and_dropped(spark):
     scratch = Scratch(spark, "test")
     back = scratch.write(spark.range(5), "five")
