@@ -12,10 +12,12 @@ that have two such segments: for all others a filled one is untouched too.
 
 Equal sets are one class from the start. Candidates first meet the most central
 member of each bucket; buckets whose members are then still in several
-components are compared fully, in blocks, by Hamming distance. Every pair that
-survives is verified on the sets. Nothing is capped, so no component is torn.
-Then the links inside each component are counted, by comparing the sets of all
-its members in blocks.
+components are compared fully by Hamming distance. A linked pair shares a second
+segment, so a bucket above one block is dealt by its members' second segments
+first, and only what then still exceeds a block is compared block by block.
+Every pair that survives is verified on the sets. Nothing is capped, so no
+component is torn. Then the links inside each component are counted, by
+comparing the sets of all its members in blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ from tessera.llm.components import components
 from tessera.llm.textvec import mix, slices, windows
 from tessera.session import Scratch
 
-BLOCK = 256
+BLOCK = 1024  # sets that are compared with each other in one task at a time
 BLOCK_SHINGLES = 1 << 20
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 29  # at most, of the broadcast filter of representatives: 64 MB
+BITS_EACH = 16
+PAGE = 1 << 15  # bits of one of Spark's bitmaps
 _KEYS = "doc_id long, n_shingles long, h1 long, h2 long, own_keys array<long>, prev_keys array<long>"
 _SETS = "doc_id long, n_shingles long, shingles array<long>, own array<long>, prev array<long>"
 
@@ -125,34 +128,9 @@ def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], ["doc_id", "n_shingles", "h1", "h2", "own_keys", "prev_keys"])
 
 
-def _positions(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for batch in batches:
-        bits[_positions(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    page = np.packbits(bits).reshape(256, -1)
-    some = np.flatnonzero(page.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([page[i].tobytes() for i in some], pa.binary())], ["page", "bits"])
-
-
-def _or_pages(pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf["bits"]])
-    return pd.DataFrame({"page": pdf["page"][:1], "bits": [bits.tobytes()]})
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
-    """Sets and sketches of the documents that pass the filter."""
+def _set_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
+    """Sets and sketches."""
     for batch in batches:
-        ids = batch.column(0)
-        there = np.asarray(ids.is_valid())
-        at = _positions(ids.fill_null(0).to_numpy(zero_copy_only=False))
-        hit = (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        batch = batch.filter(pa.array(there & hit.astype(bool)))
-        if not batch.num_rows:
-            continue
         for first, sizes, h in _sets(batch.column(1), k):
             n = len(sizes)
             band = bands.of(np.maximum(sizes, 1))
@@ -164,6 +142,33 @@ def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), _lists(np.concatenate(([0], np.cumsum(sizes))), h), *columns], ["doc_id", "n_shingles", "shingles", "own", "prev"])
 
 
+def _passing(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Rows whose place, the third column, has its bit set."""
+    for batch in batches:
+        at = batch.column(2).to_numpy()
+        yield batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).select([0, 1])
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in ids (rep), and a few more where a bitmap of the ids is small enough to go out.
+
+    The bitmap has BITS_EACH bits an id and FILTER_BITS at most; more ids than
+    that allows are met by a join instead.
+    """
+    n = ids.count()
+    if n * BITS_EACH > FILTER_BITS:
+        return texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    size = max(PAGE, 1 << (max(1, n * BITS_EACH) - 1).bit_length())
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
+    at = ids.select((place("rep") + 1).alias("at"))  # Spark's buckets and positions start from 1
+    bits = np.zeros((size // PAGE, PAGE // 8), dtype=np.uint8)
+    for r in at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
+        bits[r.page - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    wanted = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+    placed = texts.filter("doc_id IS NOT NULL").withColumn("place", place("doc_id"))
+    return placed.mapInArrow(partial(_passing, wanted=wanted), texts.schema)
+
+
 def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What work makes of whole cells (block pairs) and their first rows; rows come sorted by (key, i, j)."""
     held: list[pa.RecordBatch] = []
@@ -194,15 +199,29 @@ def _near(batch: pa.RecordBatch, firsts: np.ndarray, bands: Bands) -> pa.RecordB
     i, j, block, rep, label, size = (batch.column(c).to_numpy() for c in ("i", "j", "block", "rep", "label", "n_shingles"))
     lists = batch.column("sketch")
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    found = [np.zeros(0, dtype=np.int64)] * 2
+    found = [np.zeros((2, 0), dtype=np.int64)]
     for a, b in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
-        if b - a < 2 or (label[a:b] == label[a]).all():
-            continue
         rows = np.arange(a, b)
-        sketch = flat[at[a] : at[b]].reshape(b - a, -1)
-        same = i[a] == j[a]
-        left, right = (rows, rows) if same else (rows[block[a:b] == i[a]], rows[block[a:b] == j[a]])
-        step = max(1, (1 << 18) // max(1, len(right) * sketch.shape[1]))
+        width = np.diff(at[a : b + 1])
+        if (width != width[0]).any():  # two keys that are equal by chance
+            lone = np.bincount(width)[width] == 1
+            width, rows = width[~lone], rows[~lone]
+        for w in np.unique(width):
+            some = rows[width == w]
+            if (label[some] == label[some[0]]).all():
+                continue
+            sketch = flat[at[some][:, None] + np.arange(w)]
+            same = i[a] == j[a]
+            left, right = (np.arange(len(some)),) * 2 if same else (np.flatnonzero(block[some] == i[a]), np.flatnonzero(block[some] == j[a]))
+            found += [rep[some[p]] for p in _within(sketch, label[some], size[some], left, right, same, bands)]
+    found = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found.max(axis=0)), pa.array(found.min(axis=0))], ["a", "b"])
+
+
+def _within(sketch: np.ndarray, label: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, bands: Bands) -> Iterator[np.ndarray]:
+    """Pairs (2, n) of rows of left and right with different labels, sizes that may link and sketches near enough."""
+    if len(right):
+        step = max(1, (1 << 18) // len(right))
         for x in range(0, len(left), step):
             some = left[x : x + step]
             p, q = size[some][:, None], size[right][None, :]
@@ -211,12 +230,13 @@ def _near(batch: pa.RecordBatch, firsts: np.ndarray, bands: Bands) -> pa.RecordB
                 near &= some[:, None] < right[None, :]
             p, q = np.nonzero(near)
             p, q = some[p], right[q]
-            for y in range(0, len(p), 4096):
-                u, v = p[y : y + 4096], q[y : y + 4096]
-                apart = np.bitwise_count(sketch[u - a] ^ sketch[v - a]).sum(axis=1, dtype=np.int64)
+            chunk = max(1, (1 << 18) // max(1, sketch.shape[1]))
+            for y in range(0, len(p), chunk):
+                u, v = p[y : y + chunk], q[y : y + chunk]
+                apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
                 hit = apart <= bands.most_apart(size[u], size[v])
-                found = [np.concatenate(z) for z in zip(found, (rep[u[hit]], rep[v[hit]]), strict=True)] if hit.any() else found
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(*found)), pa.array(np.minimum(*found))], ["a", "b"])
+                if hit.any():
+                    yield np.stack((u[hit], v[hit]))
 
 
 def _degrees(batch: pa.RecordBatch, firsts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
@@ -237,9 +257,9 @@ def _degrees(batch: pa.RecordBatch, firsts: np.ndarray, num: int, den: int) -> p
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
         both = np.zeros((len(left), len(right)))
-        for x in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-            some = slice(*np.searchsorted(code, (x, x + 4096)))
-            has = np.zeros((b - a, 4096), dtype=np.float32)
+        for x in range(0, int(code[-1]) + 1 if len(code) else 0, 1024):
+            some = slice(*np.searchsorted(code, (x, x + 1024)))
+            has = np.zeros((b - a, 1024), dtype=np.float32)
             has[owner[some], code[some] - x] = 1
             both += has[left] @ has[right].T
         linked = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
@@ -263,10 +283,9 @@ def _link_counts(roots: DataFrame, sets: DataFrame, scratch: Scratch, num: int,
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     nodes = scratch.write(nodes.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "nodes")
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
-    sizes = scratch.write(sizes.select("root", "c", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("g")), "sizes")
-    large = nodes.join(sizes.filter("c > 2"), "root").select(F.col("root").alias("key"), F.col("node").alias("rep"), "g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("block"))
-    large = large.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    sizes = scratch.write(sizes.select("root", "c", _blocks(F.col("c"), F.col("s"))), "sizes")
+    large = nodes.join(sizes.filter("c > 2"), "root").select(F.col("root").alias("key"), F.col("node").alias("rep"), "g")
+    large = _in_blocks(large, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     large = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     counted = large.mapInArrow(partial(_cells, work=partial(_degrees, num=num, den=den)), "rep long, n long")
     two = nodes.join(sizes.filter("c = 2"), "root").select(F.col("node").alias("rep"), F.lit(1).cast("long").alias("n"))
@@ -279,6 +298,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.filter(f"{den} * n >= {num} * (size(sa) + size(sb) - n)").select("a", "b")
 
 
+def _blocks(count, shingles):
+    """Number of blocks of at most about BLOCK sets and BLOCK_SHINGLES shingles."""
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int").alias("g")
+
+
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """(key, g) of the buckets with several labels, g: number of blocks."""
+    met = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    return met.filter("lo <> hi").select(key, _blocks(F.col("c"), F.col("s")))
+
+
+def _in_blocks(rows: DataFrame, node: str) -> DataFrame:
+    """rows with block, the block of the node, and i <= j, the two blocks of the cell that a copy of the row is for."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(node), F.col("g")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "g")
+
+
 def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10, label: str = "jaccard", count_links: bool = True) -> DataFrame:
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of num/den or more.
 
@@ -289,7 +326,9 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     of other classes of equal sets linked with this one, all of them; null if not count_links). Null or empty texts
     have no shingles and stand alone. Repeated rows give repeated results; a null
     doc_id keeps its row with its set's component, or null where it stands alone.
-    Texts of any length are taken whole.
+    Of different texts with one doc_id each is in a component, but only one of
+    them is compared. Texts of any length are taken whole; an empty table gives
+    no rows.
     """
     spark: SparkSession = docs.sparkSession
     bands, scratch = Bands(num, den), Scratch(spark, label)
@@ -304,14 +343,9 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.write(met.join(classes.filter("rep IS NOT NULL"), "h1").select("key", "own", "rep", "n_shingles"), "members")
 
-    # Sets of the representatives in such buckets. The filter has a fixed size; its false hits go in the join.
-    reps = members.select("rep").distinct()
-    pages = reps.mapInArrow(_filter_bits, "page long, bits binary").groupBy("page").applyInPandas(_or_pages, "page long, bits binary").collect()
-    bits = np.zeros((256, FILTER_BITS // 2048), dtype=np.uint8)
-    for page in pages:
-        bits[page.page] = np.frombuffer(page.bits, dtype=np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.reshape(-1))
-    sets = texts.mapInArrow(partial(_set_batches, wanted=wanted, bands=bands, k=k), _SETS)
+    # Sets of the representatives in such buckets.
+    reps = scratch.write(members.select("rep").distinct(), "reps")
+    sets = _texts_of(texts, reps).mapInArrow(partial(_set_batches, bands=bands, k=k), _SETS)
     sets = scratch.write(sets.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
     # Round 1: each member with its bucket's most central member.
@@ -322,12 +356,16 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     links = scratch.write(_verified(pairs, sets, num, den), "links1")
     stars = components(links, scratch, "round1-")
 
-    # Round 2: all pairs of different components in the buckets that still hold several, in blocks.
+    # Round 2: all pairs of different components in the buckets that still hold several.
     named = members.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi")
-    open_keys = scratch.write(open_keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("g")), "open")
-    rest = named.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    named = scratch.write(named.join(_open(named, "key").select("key", "g"), "key"), "open")
+    # A bucket of several blocks is dealt by second segments; of two such segments the smaller key goes first.
+    large = named.filter("g > 1")
+    second = members.select("rep", "own", F.col("key").alias("other")).join(large.select(F.col("key").alias("other")).distinct().withColumn("also", F.lit(True)), "other", "left")
+    dealt = large.drop("g").join(second, ["rep", "own"]).filter("other > key OR (other < key AND also IS NULL)").withColumn("key", F.xxhash64("key", "other")).drop("other", "also")
+    dealt = scratch.write(dealt, "dealt")
+    rest = named.filter("g = 1").unionByName(dealt.join(_open(dealt, "key").select("key", "g"), "key"))
+    rest = _in_blocks(rest, "rep")
     sketches = sets.select(F.col("doc_id").alias("rep"), "own", "prev").withColumnRenamed("own", "own_sketch")
     rest = rest.join(sketches, "rep").select("key", "i", "j", "block", "rep", "label", "n_shingles", F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("prev")).alias("sketch"))
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -364,3 +402,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.session import table
 
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+#: Words, sets, classes of equal sets, links of classes that share a shingle, and the smallest doc_id that links lead to.
+OP5_SQL = """
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    sets AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                            WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s
+        FROM words),
+    classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+    shingles AS MATERIALIZED (SELECT rep, len(s) AS n, hash(unnest(s)) AS x FROM classes),
+    met AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS total, count(*) AS shared FROM shingles a JOIN shingles b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+    links AS MATERIALIZED (SELECT a, b FROM met WHERE 100 * shared >= 90 * (total - shared)),
+    reached AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+    least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+    degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id, coalesce(c.rep, s.doc_id) AS set_id, coalesce(d.n_links, 0) AS n_links
+    FROM sets s LEFT JOIN classes c ON c.s = s.s LEFT JOIN least l ON l.a = c.rep LEFT JOIN degrees d ON d.a = c.rep
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op1
 from tessera.llm.classifier import op4
 from tessera.llm.counts import op8
-from tessera.llm.jaccard import op5
+from tessera.llm.jaccard import OP5_SQL, op5
 from tessera.llm.langid import op2
 from tessera.llm.mixing import OP10_SQL, op10
 from tessera.llm.rules import op3
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mixing": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -5,11 +5,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tessera.llm.jaccard import Bands, one_of_each_group, similar_groups
-from tessera.llm.mixing import OP10_SQL, mix_plan, mixed, source_targets
+from tessera.llm import jaccard
+from tessera.llm.jaccard import OP5_SQL, Bands, one_of_each_group, similar_groups
+from tessera.llm.mixing import OP10_SQL, mix_plan, op10, mixed, source_targets
 from tessera.llm.topk import OP9_SQL, op9, top_k, vectors_of
 from tessera.session import table
 
@@ -60,8 +62,6 @@ def test_groups_of_chains_and_large_groups(spark):
             rows.append((len(rows), " ".join(some)))
     random.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    import tessera.llm.jaccard as jaccard
-
     block, jaccard.BLOCK = jaccard.BLOCK, 16
     try:
         got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_groups(docs).collect())
@@ -70,6 +70,59 @@ def test_groups_of_chains_and_large_groups(spark):
     assert got == groups_of(rows)
 
 
+def test_two_documents_in_one_task_that_share_a_segment(spark):
+    """One cell of two rows, which do not link."""
+    words = [f"w{i}" for i in range(40)]
+    for seed in range(4):
+        random.seed(seed)
+        other = [*words[:34], *(f"v{random.randrange(10**6)}" for _ in range(6))]
+        rows = [(1, " ".join(words)), (2, " ".join(other))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_groups(docs).collect()) == groups_of(rows)
+
+
+def test_cells_are_whole_however_the_batches_cut_them():
+    """Each cell once and whole: one cell, a cell over several batches, and a last batch that only continues one."""
+    for keys in ([7], [7] * 9, [1, 1, 2, 3, 3, 3, 3, 3], [1, 2, 3], []):
+        for step in (1, 2, 3, 100):
+            batch = pa.record_batch({"key": pa.array(keys, pa.int64()), "i": pa.array([0] * len(keys), pa.int32()), "j": pa.array([0] * len(keys), pa.int32())})
+            parts = [batch.slice(at, step) for at in range(0, len(keys), step)] + [batch.slice(0, 0)]
+            seen = []
+
+            def work(some, firsts):
+                for a, b in zip(firsts, [*firsts[1:], some.num_rows], strict=True):
+                    seen.append(some.column("key").to_pylist()[a:b])
+                return some
+
+            assert sum(x.num_rows for x in jaccard._cells(iter(parts), work)) == len(keys)
+            assert seen == [[k] * keys.count(k) for k in dict.fromkeys(keys)]
+
+
+def test_cells_of_one_row_and_of_sketches_of_two_lengths():
+    bands = Bands(9, 10)
+    rows = [(0, 1, 20, [5, 6, 7]), (1, 2, 20, [5, 6, 7]), (2, 3, 30, [5, 6]), (3, 4, 30, [5, 7]), (4, 5, 90, [1, 2, 3, 4])]
+    for some in (rows, rows[:1]):
+        batch = pa.record_batch({"key": pa.array([1] * len(some)), "i": pa.array([0] * len(some)), "j": pa.array([0] * len(some)), "block": pa.array([0] * len(some)), "rep": pa.array([r[0] for r in some]), "label": pa.array([r[1] for r in some]), "n_shingles": pa.array([r[2] for r in some]), "sketch": pa.array([r[3] for r in some], pa.list_(pa.int64()))})
+        got = jaccard._near(batch, np.array([0]), bands).to_pylist()
+        assert got == ([{"a": 1, "b": 0}, {"a": 3, "b": 2}] if len(some) > 1 else [])
+
+
+@pytest.mark.parametrize("name, value", [("BLOCK", 4), ("FILTER_BITS", 8)])
+def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, name, value):
+    """Texts of one template, most of them too far apart to link: buckets exceed a block and are dealt by second segments."""
+    random.seed(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(250):
+        some = list(base)
+        for at in random.sample(range(60), random.choice([1, 4, 5, 6])):
+            some[at] = f"v{random.randrange(10**6)}"
+        rows.append((i, " ".join(some)))
+    monkeypatch.setattr(jaccard, name, value)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == groups_of(rows) and len({x[2] for x in got}) > 100
+
+
 def test_bands_bound_the_difference_of_linked_sets():
     bands = Bands(9, 10)
     for a in (1, 8, 9, 17, 18, 150, 4000):
@@ -101,8 +154,6 @@ def test_every_link_is_counted(spark, odd_docs):
             for _ in range(random.randrange(most + 1)):
                 some[random.randrange(n)] = f"v{random.randrange(1000)}"
             rows += [(len(rows), " ".join(some))] * random.choice([1, 1, 2])
-    import tessera.llm.jaccard as jaccard
-
     block, jaccard.BLOCK = jaccard.BLOCK, 16
     try:
         for docs in (spark.createDataFrame(rows, "doc_id long, text string"), odd_docs.filter("doc_id IS NOT NULL")):
@@ -195,16 +246,15 @@ def test_top_k_of_queries_that_are_no_candidates(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name, sql", [("embeddings", OP9_SQL), ("documents", OP10_SQL)])
-def test_sql(spark, name, sql):
+@pytest.mark.parametrize("name, sql, query", [("embeddings", OP9_SQL, op9), ("documents", OP10_SQL, op10), ("documents", OP5_SQL, jaccard.op5)])
+def test_sql(spark, name, sql, query):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}/{name}.parquet')")
     cur = con.execute(sql)
     columns = [x[0] for x in cur.description]
-    from tessera.llm.mixing import op10
-
-    df = (op9 if name == "embeddings" else op10)(spark, path)
+    df = query(spark, path)
+    assert set(columns) == set(df.columns)
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(map(tuple, cur.fetchall()))
 
 
