@@ -1,17 +1,21 @@
 """URL filters: host rules, then host word segmentation and naive Bayes.
 
-Rules decide first. For all other urls the host's names are split into words by
-a unigram model (Viterbi: the split of highest probability) and the words, with
-the words of the path, are scored by a multinomial naive Bayes model. There are
-no labelled urls; the model learns from seed words: a url whose segmented host
-has one counts as to be blocked, all others as allowed.
+Rules decide first, and what they decide is what the model learns from: a url
+that a rule fits is a training example with the rule's verdict, without the part
+of its host and path that the rule itself names, so the rules are not copied.
+Names of hosts are split into words by a unigram model (Viterbi: the split of
+highest probability) and the words, with those of the path, are scored by a
+multinomial naive Bayes model.
+
+Nothing is broadcast or collected that grows with the urls: the words that a
+host's names may hold meet their counts in a join and each host is split with
+its own; the weights of words meet the words of the urls in another.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -21,10 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import Scratch, table
 
-LONGEST = 24  # letters of a word that a name may hold
-#: Words of hosts that are to be blocked.
-SEEDS = ("ads", "adult", "bet", "bets", "bingo", "casino", "escort", "gambling", "jackpot", "lottery", "pharma", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx")
-_WORD = re.compile(r"[^\W\d_]+")
+LETTERS = 26  # an unknown letter is so many times less likely than the rarest word
+_BATCH = 1 << 15
+_OTHER = "[^\\p{L}]+"
 
 
 @dataclass(frozen=True)
@@ -57,140 +60,157 @@ def parts_of(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-class Segmenter:
-    """Most probable split of a name into words; letters outside words cost more than any word."""
-
-    def __init__(self, logs: dict[str, float], unknown: float):
-        self.logs, self.unknown = logs, unknown
-        self.longest = max(map(len, logs), default=1)
-        self.kept: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        if (got := self.kept.get(name)) is not None:
-            return got
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            top, start = best[end - 1] + self.unknown, end - 1
-            for a in range(max(0, end - self.longest), end):
-                if (p := self.logs.get(name[a:end])) is not None and best[a] + p >= top:
-                    top, start = best[a] + p, a
-            best.append(top)
-            back.append(start)
-        out, end, loose = [], len(name), ""
-        while end:
-            word = name[back[end] : end]
-            if word in self.logs:
-                out += [loose] * bool(loose) + [word]
-                loose = ""
-            else:
-                loose = word + loose
-            end = back[end]
-        out += [loose] * bool(loose)
-        out.reverse()
-        if len(self.kept) > 50_000:
-            self.kept.clear()
-        self.kept[name] = out
-        return out
-
-
-def _segmented(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    split = Segmenter(*held.value).split
-    seeds = frozenset(SEEDS)
+def ruled(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """urls (host, path, ...) with rule and ruling, the text and verdict of the longest rule that fits, and with
+    own_host and own_path, what is left of both without what that rule names."""
+    host, path = F.col("host"), F.col("path")
+    out = {"rule": F.lit(None).cast("string"), "ruling": F.lit(None).cast("string"), "own_host": host, "own_path": path}
+    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
+        here = {"rule": F.lit(r.text), "ruling": F.lit(r.verdict), "own_host": F.expr(f"left(host, greatest(0, length(host) - {len(r.host) + 1}))"), "own_path": F.expr(f"substring(path, {len(r.path) + 1})")}
+        out = {k: F.when(r.fits(host, path), here[k]).otherwise(v) for k, v in out.items()}
+    return urls.withColumns(out)
+
+
+def words_of(text: Column) -> Column:
+    """Runs of letters, in lower case."""
+    return F.filter(F.split(F.lower(text), _OTHER), lambda w: w != "")
+
+
+def split(name: str, logs: dict[str, float], unknown: float) -> list[str]:
+    """Most probable split of a name into words of logs; a letter outside words costs `unknown`, and such letters in a
+    row are one word. Of equally probable splits the one whose last words are longest. Work: letters by word lengths."""
+    lengths = sorted({len(w) for w in logs})
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        top, start = best[end - 1] + unknown, end - 1
+        for n in lengths:
+            if n > end:
+                break
+            if (p := logs.get(name[end - n : end])) is not None and best[end - n] + p >= top:
+                top, start = best[end - n] + p, end - n
+        best.append(top)
+        back.append(start)
+    out: list[str] = []
+    end = loose = len(name)  # name[end:loose] are letters outside words
+    while end:
+        start = back[end]
+        if name[start:end] in logs:
+            if loose > end:
+                out.append(name[end:loose])
+            out.append(name[start:end])
+            loose = start
+        end = start
+    if loose:
+        out.append(name[:loose])
+    return out[::-1]
+
+
+def _names(host: str) -> list[str]:
+    """As words_of has them."""
+    return [x for x in "".join(c if c.isalpha() else " " for c in host.lower()).split(" ") if x]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """(host, word) of every part of a host's names that has the length of some word, once."""
+
+    def parts(host: str) -> Iterable[str]:
+        names = set(_names(host))
+        for n in lengths:
+            yield from {name[a : a + n] for name in names for a in range(len(name) - n + 1)}
+
+    for batch in batches:
+        held: list[tuple[str, str]] = []
+        for host in batch.column(0).to_pylist():
+            for word in parts(host):
+                held.append((host, word))
+                if len(held) >= _BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held, strict=True)], ["host", "word"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held, strict=True)], ["host", "word"])
+
+
+def _split_hosts(batches: Iterator[pa.RecordBatch], total: int, unknown: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, seeded = [], []
-        for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            words = [w for name in _WORD.findall(host) for w in split(name)]
-            seeded.append(not seeds.isdisjoint(words))
-            tokens.append([f"h:{w}" for w in words] + [f"p:{w}" for w in _WORD.findall(path.lower())])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string())), pa.array(seeded, pa.bool_())], [*batch.schema.names, "tokens", "seeded"])
+        out = []
+        for host, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            logs = {x["word"]: math.log(x["n"] / total) for x in known or ()}
+            out.append([w for name in _names(host) for w in split(name, logs, unknown)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "words"])
 
 
-def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a word in the names of these hosts can be."""
-    for batch in batches:
-        names = {name for host in batch.column("host").to_pylist() for name in _WORD.findall(host)}
-        parts = {name[a:b] for name in names for a in range(len(name)) for b in range(a + 2, min(len(name), a + LONGEST) + 1)}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.string())], ["word"])
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of all words of page texts (html) and of the parts of hyphened host names."""
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), "<[^>]*>", " ")
+    words = pages.select(F.explode(words_of(text)).alias("word"))
+    names = pages.select(F.explode(F.split("host", "[.]")).alias("name")).filter("name LIKE '%-%'").select(F.explode(words_of(F.col("name"))).alias("word"))
+    return words.unionByName(names).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unigrams(pages: DataFrame, scratch: Scratch) -> tuple[dict[str, float], float]:
-    """Log probabilities of words, and the least of any word.
+def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words) of each of some distinct hosts, by the unigram model of a table of counts (word, n).
 
-    All words of page texts and of the parts of hyphened host names are counted
-    in a written table. Of those the ones that some host name here holds, the
-    only ones that a split can use, come to the driver.
+    Only words that a host holds can be in its split, so each host takes the
+    counts of its own parts. Without counts a name is one word.
     """
-    text = F.regexp_replace(F.lower(F.coalesce(F.col("html").cast("string"), F.lit(""))), "<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word"))
-    names = pages.select(F.explode(F.split("host", "[.]")).alias("name")).filter("name LIKE '%-%'").select(F.explode(F.split("name", "[^\\p{L}]+")).alias("word"))
-    counts = words.unionByName(names).filter(f"length(word) BETWEEN 2 AND {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = scratch.write(counts, "words")
-    usable = pages.select("host").distinct().mapInArrow(_substrings, "word string").distinct()
-    n = {r.word: r.n for r in counts.join(usable, "word", "left_semi").collect()}
-    seeded = {r.word: r.n for r in counts.filter(F.col("word").isin(*SEEDS)).collect()}
-    n |= {w: seeded.get(w, 0) + 1 for w in SEEDS}
-    others = counts.filter(~F.col("word").isin(*SEEDS)).agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
-    total = (others.n or 0) + sum(n[w] for w in SEEDS)
-    least = min(n[w] for w in SEEDS) if others.least is None else min(others.least, *(n[w] for w in SEEDS))
-    return {w: math.log(c / total) for w, c in n.items()}, math.log(least / total)
-
-
-def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, strength: float = 10.0, seed_share: float = 0.3) -> DataFrame:
+    known = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.collect_set(F.length("word")).alias("lengths")).first()
+    total, least = (known.total or 1), (known.least or 1)
+    parts = hosts.mapInArrow(partial(_candidates, lengths=sorted(known.lengths)), "host string, word string")
+    held = parts.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    every = hosts.join(held, "host", "left")
+    return every.mapInArrow(partial(_split_hosts, total=total, unknown=math.log(least / total) - math.log(LETTERS)), "host string, words array<string>")
+
+
+def log_odds(tokens: DataFrame) -> DataFrame:
+    """(token, odds) of a multinomial naive Bayes model: log P(token | block) - log P(token | allow), each plus one.
+
+    tokens: ruling and tokens of each training url. Odds are decimals, so that
+    their sums do not depend on the order of rows.
+    """
+    each = tokens.select("ruling", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("ruling") == "block").alias("bad"), F.count_if(F.col("ruling") == "allow").alias("good"))
+    every = each.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count(F.lit(1)).alias("size"))
+    of = lambda x: F.ln((F.col(x) + 1) / (F.col(f"all_{x}") + F.col("size")))
+    return each.join(F.broadcast(every)).select("token", (of("bad") - of("good")).cast("decimal(20,12)").alias("odds"))
+
+
+def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (page_id, url, html).
 
     The longest rule that fits decides; else the model: block where the log odds
-    (score) are above 0. A null url or one without :// has an empty host and
-    path, which no rule fits and which is allowed. Null html has no words.
-    Repeated rows are judged alike; other columns are ignored; an empty table
-    gives no rows.
+    (score) are above 0. The model learns from the distinct urls that a rule
+    fits and from labels (url, verdict: block or allow), if given; a token that
+    it has not met weighs nothing, and with nothing to learn from all is
+    allowed. A null url or one without :// has an empty host and path, which no
+    rule fits and which is allowed. Null html has no words. Hosts, names and
+    words of any length are taken whole. Repeated rows are judged alike; other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = parts_of(F.col("url").cast("string"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    logs, least = unigrams(parsed, scratch)
-    unknown = least - math.log(26)
-    held = spark.sparkContext.broadcast((logs, unknown))
-    kind = parsed.schema["page_id"].dataType.simpleString()
-    cut = scratch.write(parsed.select("page_id", "host", "path").mapInArrow(partial(_segmented, held=held), f"page_id {kind}, host string, path string, tokens array<string>, seeded boolean"), "segmented")
-    seen = cut.filter("host <> ''")
-    counts = seen.select("seeded", F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seeded").cast("long")).alias("bad"))
-    model = {r.word: (r.bad, r.n - r.bad) for r in counts.collect()}  # every word that a url here has
-    urls = seen.agg(F.sum(F.col("seeded").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    bad_urls = urls.bad or 0
-    odds = _log_odds(model, strength, seed_share)
-    prior = math.log((bad_urls + 1) / ((urls.n or 0) - bad_urls + 1))
-    weights = spark.sparkContext.broadcast((odds, prior))
-    scored = cut.mapInArrow(partial(_scored, held=weights), f"page_id {kind}, host string, path string, score double")
-    fits = sorted(rules, key=lambda r: (-len(r.text), r.text))
-    rule, verdict = F.lit(None).cast("string"), F.when((F.col("host") != "") & (F.col("score") > 0), "block").otherwise("allow")
-    for r in reversed(fits):
-        meets = r.fits(F.col("host"), F.col("path"))
-        rule, verdict = F.when(meets, r.text).otherwise(rule), F.when(meets, r.verdict).otherwise(verdict)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "score")
-
-
-def _log_odds(counts: dict[str, tuple[int, int]], strength: float, seed_share: float) -> dict[str, float]:
-    """log P(word | block) - log P(word | allow) from (block, allow) counts.
-
-    Both are smoothed by `strength` words' worth of the overall distribution, of
-    which the seeds have `seed_share` on the side of block.
-    """
-    counts = {f"h:{w}": (0, 0) for w in SEEDS} | counts
-    bad, good = (sum(x[i] for x in counts.values()) for i in (0, 1))
-    seeds = {f"h:{w}" for w in SEEDS}
-    out = {}
-    for word, (b, g) in counts.items():
-        overall = (b + g + 1) / (bad + good + len(counts))
-        lean = (1 - seed_share) * overall + seed_share * (word in seeds) / len(seeds)
-        out[word] = math.log((b + strength * lean) / (bad + strength)) - math.log((g + strength * overall) / (good + strength))
-    return out
-
-
-def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    odds, prior = held.value
-    for batch in batches:
-        score = [prior + sum(odds.get(t, 0.0) for t in tokens) for tokens in batch.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(score, pa.float64())], ["page_id", "host", "path", "score"])
+    parsed = scratch.write(ruled(pages.select("page_id", host.alias("host"), path.alias("path")), rules), "parsed")
+    counts = scratch.write(word_counts(pages.select(host.alias("host"), "html")), "words")
+    urls = parsed.filter("host <> ''").drop("page_id").distinct()
+    known = urls.filter("rule IS NOT NULL").select(F.col("own_host").alias("host"), F.col("own_path").alias("path"), "ruling")
+    if labels is not None:
+        known = known.unionByName(labels.filter("verdict IN ('block', 'allow')").select(host.alias("host"), path.alias("path"), F.col("verdict").alias("ruling")).distinct())
+    hosts = urls.select("host").union(known.select("host")).filter("host <> ''").distinct()
+    hosts = scratch.write(segmented(hosts, counts), "hosts")
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        of = lambda c, kind: F.transform(c, lambda w: F.concat(F.lit(kind), w))
+        words = F.concat(of(F.coalesce("words", F.array().cast("array<string>")), "h:"), of(words_of(F.col("path")), "p:"))
+        return rows.join(hosts, "host", "left").withColumn("tokens", words).drop("words")
+
+    known = scratch.write(tokens(known).select("ruling", "tokens"), "known")
+    odds = scratch.write(log_odds(known), "odds")
+    n = known.agg(F.count_if(F.col("ruling") == "block").alias("bad"), F.count_if(F.col("ruling") == "allow").alias("good")).first()
+    prior = math.log((n.bad + 1) / (n.good + 1))
+    left = tokens(urls.filter("rule IS NULL").select("host", "path")).select("host", "path", F.explode("tokens").alias("token"))
+    scores = left.join(odds, "token").groupBy("host", "path").agg(F.sum("odds").cast("double").alias("odds"))
+    score = F.when(F.col("rule").isNull() & (F.col("host") != ""), F.lit(prior) + F.coalesce("odds", F.lit(0.0)))
+    verdict = F.coalesce("ruling", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    out = parsed.join(scores, ["host", "path"], "left").withColumn("score", score)
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import math
 import re
-from pathlib import Path
+import time
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -98,51 +99,117 @@ def test_isotonic_is_the_least_squares_fit():
 def test_rules_for_urls(spark):
     cases = {
         "https://a.NET/x?q": ("a.net", "/x", "net/", "block"),
-        "http://net": ("net", "", None, "allow"),
+        "http://net": ("net", "", None, "model"),
         "http://b.example.net/en/1#f": ("b.example.net", "/en/1", "example.net/en/", "allow"),
         "http://example.net/enx": ("example.net", "/enx", "net/", "block"),
-        "http://badexample.com/de/1": ("badexample.com", "/de/1", None, "allow"),
+        "http://badexample.com/de/1": ("badexample.com", "/de/1", None, "model"),
         "http://example.com/de/1": ("example.com", "/de/1", "example.com/de/", "block"),
         "x://h.org/fr/a?://b": ("h.org", "/fr/a", "org/fr/", "allow"),
         "no scheme": ("", "", None, "allow"),
-        "http://www.casinopoker.example.org/a": ("www.casinopoker.example.org", "/a", None, "block"),
         "http:///path": ("", "/path", None, "allow"),
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
     }
-    rows = [(i, u, "<p>plain words of text</p>" if i % 2 else None, "t") for i, u in enumerate(cases)] + [(None, "http://q.org/", None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tokens string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages).collect()}
-    assert got[None] == ("q.org", "/", None, "allow")
-    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    rows = [(i, u, "<p>plain words of text</p>" if i % 2 else None, "t", "h", "p", "r", 1.0, 2, "x", 1) for i, u in enumerate(cases)] + [(None, "http://q.org/", *[None] * 9), (0, *[None] * 10), (0, *[None] * 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tokens string, host string, path string, rule string, score double, word int, verdict string, n int")
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict if r.rule or not r.host else "model") for r in urls.judge_urls(pages).collect()]
+    assert sorted(got, key=str) == sorted([(None, "q.org", "/", None, "model"), (0, "", "", None, "allow"), (0, "", "", None, "allow"), *((i, *c) for i, c in enumerate(cases.values()))], key=str)
     assert urls.judge_urls(pages.filter("page_id < 0")).count() == 0
 
 
-def test_segmentation_takes_the_most_probable_split():
-    logs = {"free": -3.0, "bets": -4.0, "be": -2.0, "freebets": -9.0}
-    split = urls.Segmenter(logs, -12.0).split
-    assert split("freebets") == ["free", "bets"] and split("betsfree") == ["bets", "free"]
-    assert split("zzfree") == ["zz", "free"] and split("") == []
+def every_split(name):
+    if not name:
+        yield []
+    for n in range(1, len(name) + 1):
+        for rest in every_split(name[n:]):
+            yield [name[:n], *rest]
+
 
+def test_segmentation_takes_the_most_probable_of_all_splits():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        words = {"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(7)}
+        logs = {w: float(-rng.uniform(1, 9)) for w in words}
+        name = "".join(rng.choice(list("abcd"), rng.integers(1, 10)))
+        cost = lambda parts: sum(logs.get(p, -11.0 * len(p)) for p in parts)  # noqa: B023, E731
+        got = urls.split(name, logs, -11.0)
+        assert "".join(got) == name and cost(got) == pytest.approx(max(map(cost, every_split(name))))
+    assert urls.split("betsfree", {"free": -3.0, "bets": -4.0, "be": -2.0, "freebets": -9.0}, -12.0) == ["bets", "free"]
+    assert urls.split("zzfree", {"free": -3.0}, -12.0) == ["zz", "free"] and urls.split("", {}, -1.0) == []
 
-def test_blocked_hosts_of_the_pages(spark):
-    got = urls.judge_urls(table(spark, DATA, "pages")).filter("rule IS NULL").collect()
-    bad = re.compile("casino|adult|pills|spam|ads-|bets")
-    assert {bool(bad.search(r.host)) == (r.verdict == "block") for r in got} == {True}
-    assert Path(DATA).exists()
 
+def test_a_very_long_name_is_split_in_proportion_to_its_length():
+    for n in (20_000, 400_000):
+        began = time.process_time()
+        assert urls.split("x" * n + "free", {"free": -3.0}, -12.0) == ["x" * n, "free"]
+        took = time.process_time() - began
+        assert n == 20_000 or took < 60 * max(first, 0.01)
+        first = took
 
-def test_rare_words_of_hosts_keep_their_counts(spark):
-    """60,000 more frequent words in the pages: a host's own rare word still splits its name, a rare path word still scores."""
+
+def test_words_of_any_length_and_count_split_names(spark):
+    """60,000 more frequent words in the pages, a word of one letter and one of 30: each keeps its count."""
     letters = "abcdefghijklmnopqrst"
     filler = ["q" + a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8]][:60_000]
-    text = " ".join(filler)
-    rows = [(i, f"http://www.example.org/{i}", f"<p>{text}</p>") for i in range(3)]
-    rows += [(10, "http://zebrabetsky.example.org/", "<p>zebrabetsky</p>"), (11, "http://casinohouse.example.org/rarepath", "<p>house</p>")]
-    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()}
-    assert got[10].verdict == "allow" and got[11].verdict == "block"
-    parsed = spark.createDataFrame([(u.split("/")[2], h) for _, u, h in rows], "host string, html string")
-    logs, least = urls.unigrams(parsed, urls.Scratch(spark, "test"))
-    total = 3 * len(filler) + 2 + len(urls.SEEDS)
-    assert logs["zebrabetsky"] == logs["house"] == least == math.log(1 / total)
-    assert urls.Segmenter(logs, least - math.log(26)).split("zebrabetsky") == ["zebrabetsky"]
+    long = "pneumonoultramicroscopicsilico"
+    pages = spark.createDataFrame([("www.example.org", f"<p>{' '.join(filler)}</p>")] * 3 + [("x", f"<p>zebrabetsky {long} I</p>"), (None, None)], "host string, html string")
+    counts = urls.word_counts(pages)
+    assert {r.word: r.n for r in counts.filter("n < 3").collect()} == {"zebrabetsky": 1, long: 1, "i": 1}
+    names = {"zebrabetsky": ["zebrabetsky"], f"i{long}zebrabetsky": ["i", long, "zebrabetsky"], f"{filler[7]}i.{filler[9]}": [filler[7], "i", filler[9]], "1-!": [], "Éß7i": ["éß", "i"]}
+    hosts = spark.createDataFrame([(x,) for x in names], "host string")
+    assert {r.host: r.words for r in urls.segmented(hosts, counts).collect()} == names
+    assert {r.host: r.words for r in urls.segmented(hosts.filter("host LIKE 'zebra%'"), counts.limit(0)).collect()} == {"zebrabetsky": ["zebrabetsky"]}
+
+
+def test_verdicts_equal_bayes_by_hand(spark):
+    """All pages, against a plain version of rules, unigrams, all parts of a name and naive Bayes."""
+    pages = table(spark, DATA, "pages")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    words_of = lambda x: re.findall(r"[^\W\d_]+", x.lower())
+    parts = {}
+    for i, url, _ in rows:
+        rest = re.split("[?#]", url.split("://", 1)[1])[0]
+        host, slash, path = rest.partition("/")
+        parts[i] = host.lower(), slash + path
+    counts = Counter(w for _, _, html in rows for w in words_of(re.sub("<[^>]*>", " ", html)))
+    counts.update(w for host, _ in parts.values() for name in host.split(".") if "-" in name for w in words_of(name))
+    total, unknown = sum(counts.values()), math.log(min(counts.values()) / sum(counts.values()) / 26)
+    logs = {w: math.log(n / total) for w, n in counts.items()}
+
+    def ruled(host, path):
+        fit = [r for r in urls.RULES if f".{host}".endswith(f".{r.host}") and path.startswith(r.path)]
+        return max(fit, key=lambda r: len(r.text), default=None)
+
+    def tokens(host, path):
+        return [f"h:{w}" for name in words_of(host) for w in urls.split(name, logs, unknown)] + [f"p:{w}" for w in words_of(path)]
+
+    seen, n = {"block": Counter(), "allow": Counter()}, Counter()
+    for host, path in set(parts.values()):
+        if r := ruled(host, path):
+            n[r.verdict] += 1
+            seen[r.verdict].update(tokens(host[: max(0, len(host) - len(r.host) - 1)], path[len(r.path) :]))
+    every = set(seen["block"]) | set(seen["allow"])
+    like = {v: {t: (seen[v][t] + 1) / (seen[v].total() + len(every)) for t in every} for v in seen}
+    wanted = {}
+    for i, (host, path) in parts.items():
+        if r := ruled(host, path):
+            wanted[i] = host, path, r.text, r.verdict
+        else:
+            score = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(math.log(like["block"][t] / like["allow"][t]) for t in tokens(host, path) if t in every)
+            wanted[i] = host, path, None, "block" if score > 0 else "allow"
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages).collect()}
+    assert got == wanted
+    assert {v for _, _, rule, v in got.values() if rule is None} == {"block", "allow"}
+
+
+def test_segments_decide_where_substrings_do_not(spark):
+    """The model learns `bets` as a word of blocked hosts: `alphabetsoup` holds it as letters only, `freebets` as a word."""
+    text = "<p>" + "alphabet soup free bets house garden " * 3 + "</p>"
+    learned = [f"http://{x}.{top}/p{i}" for i in range(4) for x, top in (("freebets", "net"), ("betshouse", "net"), ("gardenhouse", "org/fr"), ("alphabetgarden", "org/fr"))]
+    judged = ["http://www.alphabetsoup.info/", "http://www.bets.info/", "http://bets-garden-soup-bets.info/", "http://gardenalphabet.info/"]
+    rows = [(i, u, text) for i, u in enumerate(learned + judged)]
+    got = {r.host: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("rule IS NULL").collect()}
+    assert got == {"www.alphabetsoup.info": "allow", "www.bets.info": "block", "bets-garden-soup-bets.info": "block", "gardenalphabet.info": "allow"}
+    labels = spark.createDataFrame([(f"http://soup{i}.info/", "block") for i in range(9)] + [(None, "block"), ("http://x.y/", None)], "url string, verdict string")
+    more = {r.host: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), labels=labels).filter("rule IS NULL").collect()}
+    assert more["www.alphabetsoup.info"] == "block"
