@@ -2,12 +2,14 @@
 
 A gear hash rolls over each text's bytes and cuts it where the hash's low bits
 are zero, so equal passages of different documents fall into equal chunks. A
-worker encodes a chunk that it meets again from its cache of whole chunks; the
-cache is bounded in bytes and takes a chunk when it is met the second time.
-Chunks are cut anywhere, so the tokens at their joins are not yet those of the
-whole text: each join is re-encoded over a window that grows until its ids agree
-exactly with the chunks' own ids at both edges, and then takes the place of what
-it covers.
+worker encodes a chunk once and takes its ids from a cache of whole chunks, of
+bounded bytes, when it meets it again. Chunks are cut anywhere, so the tokens at
+their joins are not yet those of the whole text: a join inside a piece (see
+pieces.py) is repaired by re-encoding, from the last place before it to the
+first place after it where pieces meet. There the ids of both sides agree with
+those of the whole text whatever lies beyond, so the repair is exact, and each
+character is re-encoded once at most: a run without white space over many chunks
+is encoded as one when it ends.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.pieces import PieceEncoder, id_type, public_path, tokenizer, worker_encoder
 from tessera.session import table
 
-CHUNK_BITS = 11  # a cut every 2 KiB on average
-SMALLEST = 256
-CACHE_BYTES = 48 << 20
-SEEN = 1 << 18
+CHUNK_BITS = 9  # a cut every 512 bytes on average, after the smallest size
+SMALLEST = 128
+CACHE_BYTES = 24 << 20  # of each of two generations of chunks
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -53,12 +54,36 @@ def cuts(data: np.ndarray, bits: int = CHUNK_BITS, smallest: int = SMALLEST) ->
     return [*out, len(data)]
 
 
+class Chunk:
+    """A chunk's pieces: the first and the last as text and ids, those between them as ids only."""
+
+    __slots__ = ("first", "last", "ids", "middle", "first_ids", "last_ids", "opens", "ends")
+
+    def __init__(self, text: str, encoder: PieceEncoder):
+        pieces = encoder.split(text)
+        self.opens, self.ends = _blank(text[0]), _blank(text[-1])  # whether it begins and ends with white space
+        if len(pieces) > 1:
+            records = encoder.records(text)
+            self.first, self.last = pieces[0], pieces[-1]
+            self.first_ids, self.middle, self.last_ids = records[0], b"".join(records[1:-1]), records[-1]
+        else:  # one piece or none: encoded when its end is known
+            self.first = self.last = pieces[0] if pieces else ""
+            self.middle = None
+
+    def size(self) -> int:
+        return 400 if self.middle is None else 500 + len(self.middle)
+
+
+def _blank(char: str) -> bool:
+    return char.isspace() and not "\x1c" <= char <= "\x1f"
+
+
 class ChunkEncoder:
-    """Whole texts to pieces' records, by chunks."""
+    """Whole texts to ids, by chunks."""
 
-    def __init__(self, path: str, chunk_bits: int = CHUNK_BITS):
+    def __init__(self, path: str, chunk_bits: int = CHUNK_BITS, smallest: int = SMALLEST):
         t = tokenizer(path)
-        self.bits = chunk_bits
+        self.bits, self.smallest = chunk_bits, smallest
         self.encoder = PieceEncoder(path)
         self.kind = self.encoder.kind
         self.glue = t.decoder is None  # decoding then joins the tokens by spaces
@@ -66,9 +91,9 @@ class ChunkEncoder:
         self.token = [""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.token[i] = name
-        self.chunks: dict[bytes, tuple] = {}
+        self.young: dict[bytes, Chunk] = {}
+        self.old: dict[bytes, Chunk] = {}
         self.held = 0
-        self.seen: set[bytes] = set()
         self.reused = self.encoded = 0
 
     def decode(self, ids: np.ndarray) -> str:
@@ -77,108 +102,64 @@ class ChunkEncoder:
             return " ".join([self.token[i] for i in ids.tolist()])
         return tokenizer(self.encoder.path).decode(ids.tolist(), skip_special_tokens=False)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.records(text)), dtype=self.kind) if text else np.zeros(0, dtype=self.kind)
-
-    def _chunk(self, raw: bytes) -> tuple[list[str], list]:
-        """Pieces of a chunk and their records, as the chunk alone has them."""
+    def _chunk(self, raw: bytes) -> Chunk:
         key = xxhash.xxh3_128_digest(raw)
-        if (got := self.chunks.get(key)) is not None:
+        got = self.young.get(key)
+        if got is not None:
             self.reused += 1
             return got
-        self.encoded += 1
-        text = raw.decode("utf-8")
-        got = self.encoder.split(text), self.encoder.records(text)
-        if key in self.seen:
-            if self.held > CACHE_BYTES:
-                self.chunks.clear()
-                self.held = 0
-            self.chunks[key] = got
-            self.held += 120 * len(got[0]) + len(raw)
+        got = self.old.get(key)
+        if got is None:
+            got = Chunk(raw.decode("utf-8"), self.encoder)
+            self.encoded += 1
         else:
-            if len(self.seen) >= SEEN:
-                self.seen.clear()
-            self.seen.add(key)
+            self.reused += 1
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[key] = got
+        self.held += got.size()
         return got
 
-    def records(self, text: str) -> list[bytes]:
-        """Records of the pieces of a whole text."""
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        if not text:
+            return np.zeros(0, dtype=self.kind)
         raw = text.encode("utf-8")
-        ends = cuts(np.frombuffer(raw, dtype=np.uint8), self.bits)
-        if len(ends) == 1:
-            return self._chunk(raw)[1]
-        bounds = list(zip([0, *ends[:-1]], ends, strict=True))
-        if not self.encoder.words:
-            return self._spaced(raw, bounds)
-        out: list = []
-        kept: list[str] = []  # pieces of out that a later join may take back
-        open_end = False
-        for at, (a, b) in enumerate(bounds):
-            part = raw[a:b]
-            pieces, records = self._chunk(part)
-            if not pieces:
-                open_end = False
-                continue
-            if open_end and self._glued(raw, a):
-                if (met := self._repaired(out, kept, pieces, records)) is None:  # no agreement: the text as one
-                    return [self.encoder.encoded([text])[0]]
-                out, kept, pieces, records = met
-            out += records
-            kept = (kept + pieces[-64:])[-64:]
-            open_end = not self._space_at(raw, b)
-        return out
-
-    def _space_at(self, raw: bytes, end: int) -> bool:
-        """Whether the character before this place is white space."""
-        tail = raw[max(0, end - 4) : end].decode("utf-8", "ignore")
-        return bool(tail) and not self.encoder.split(tail[-1])
-
-    def _glued(self, raw: bytes, at: int) -> bool:
-        """Whether a word runs across this place."""
-        head = raw[at : at + 4].decode("utf-8", "ignore")
-        return bool(head) and bool(self.encoder.split(head[0]))
-
-    def _repaired(self, out: list, kept: list[str], pieces: list[str], records: list) -> tuple[list, list[str], list[str], list] | None:
-        """Re-encode around a join, over more and more pieces of either side, until both edges agree with what is there."""
-        width = 1
-        while True:
-            left, right = kept[-width - 1 :], pieces[: width + 1]
-            window = " ".join([*left[:-1], left[-1] + right[0], *right[1:]])
-            ids = tokenizer(self.encoder.path).encode(window, add_special_tokens=False).ids
-            made = np.array(ids, dtype=self.kind).tobytes()
-            before = b"".join(out[len(out) - len(left) : len(out) - 1])
-            after = b"".join(records[1 : len(right)])
-            if len(made) >= len(before) + len(after) and made.startswith(before) and made.endswith(after):
-                break
-            if len(left) < width + 1 and len(right) < width + 1 or width > 32:
-                return None
-            width *= 2
-        out[-1] = made[len(before) : len(made) - len(after)]
-        kept[-1] = left[-1] + right[0]
-        return out, kept, pieces[1:], records[1:]
-
-    def _spaced(self, raw: bytes, bounds: list[tuple[int, int]]) -> list:
-        """For vocabularies that encode white space: the pieces on both sides of a join are re-encoded as one text,
-        from a piece that follows a visible character on."""
-        out: list = []
-        kept: list[str] = []
-        for a, b in bounds:
-            pieces, records = self._chunk(raw[a:b])
-            tail = ""
-            while kept:
-                tail = kept.pop() + tail
-                out.pop()
-                if not kept or not kept[-1].isspace():
-                    break
-            window = tail + pieces[0]
-            fresh = self.encoder.split(window)
-            if fresh[-1] != pieces[0] and len(pieces) > 1 and pieces[0].isspace():
-                window += pieces[1]
-                fresh, pieces, records = self.encoder.split(window), pieces[1:], records[1:]
-            out += self.encoder.records(window)
-            out += records[1:]
-            kept = (kept + fresh + pieces[1:])[-64:] if len(kept) < 64 else kept + fresh + pieces[1:]
-        return out
+        out: list[bytes] = []
+        open_: list[str] = []  # what the last piece so far is made of
+        open_ids: bytes | None = None  # its ids, where known
+        blank = True  # whether the text so far ends with white space
+        at = 0
+        for end in cuts(np.frombuffer(raw, dtype=np.uint8), self.bits, self.smallest):
+            part = self._chunk(raw[at:end])
+            at = end
+            # White space belongs to the piece that follows it, or to none.
+            joined = open_ and (blank or not part.opens)
+            if open_ and (not joined or not part.first):
+                out.append(self._whole(open_) if open_ids is None else open_ids)
+                open_, joined = [], False
+            blank = part.ends
+            if part.middle is None:
+                if part.first:
+                    open_.append(part.first)
+                    open_ids = None
+            else:
+                if joined:
+                    out.append(self._whole([*open_, part.first]))
+                else:
+                    out.append(part.first_ids)
+                out.append(part.middle)
+                open_, open_ids = [part.last], part.last_ids
+            if self.encoder.words and blank and open_:
+                out.append(self._whole(open_) if open_ids is None else open_ids)
+                open_ = []
+        if open_:
+            out.append(self._whole(open_) if open_ids is None else open_ids)
+        return np.frombuffer(b"".join(out), dtype=self.kind)
+
+    def _whole(self, parts: list[str]) -> bytes:
+        """Ids of one piece made of parts."""
+        return b"".join(self.encoder.records("".join(parts)))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, bits: int, digests: bool) -> Iterator[pa.RecordBatch]:
@@ -204,7 +185,8 @@ def encode(docs: DataFrame, path: str, *, chunk_bits: int = CHUNK_BITS, digests:
     little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     Null and empty texts have no ids. Rows are independent of each other:
     repeated and null ids and further columns change nothing; an empty table
-    gives no rows. No column is shuffled.
+    gives no rows. Texts of any length are encoded whole, in time proportional
+    to their length, also without white space. No column is shuffled.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()

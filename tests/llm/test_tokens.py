@@ -1,5 +1,6 @@
 """BPE by chunks, token files and token counts against the library itself."""
 
+import time
 import zlib
 from hashlib import sha256
 
@@ -17,7 +18,7 @@ from tessera.session import Scratch
 WORD, BYTE = public_path("word_bpe_49k.json"), public_path("byte_bpe_50k.json")
 TEXT = st.lists(st.sampled_from([*"abzÉß1.!'#\n\t \x1c\x85\xa0\u3000\u0301", " ", "  ", "'s", "the ", " of", "<|endoftext|>", "<|startoftext|>", "\u4e2d", "\U0001f389", "\u0130"]) | st.characters(exclude_categories=["Cs"]), max_size=120).map("".join)
 ENCODERS = {p: PieceEncoder(p, limit=500) for p in (WORD, BYTE)}
-CHUNKS = {p: ChunkEncoder(p, 3) for p in (WORD, BYTE)}
+CHUNKS = {p: ChunkEncoder(p, 3, 4) for p in (WORD, BYTE)}
 
 
 def ids_of(path, text):
@@ -31,11 +32,7 @@ def test_pieces_and_chunks_give_the_library_s_ids(text):
         wanted = ids_of(path, text)
         assert np.frombuffer(b"".join(ENCODERS[path].records(text)), dtype=ENCODERS[path].kind).tolist() == wanted
         coder = CHUNKS[path]
-        cuts.__defaults__ = (3, 4)
-        try:
-            got = coder.ids(text)
-        finally:
-            cuts.__defaults__ = (11, 256)
+        got = coder.ids(text)
         assert got.tolist() == wanted
         assert coder.decode(got) == tokenizer(path).decode(wanted, skip_special_tokens=False)
 
@@ -52,7 +49,39 @@ def test_shared_chunks_are_encoded_once_they_are_known():
     text = " ".join(f"word{i}" for i in range(5000))
     for _ in range(3):
         coder.ids(text)
-    assert coder.reused >= coder.encoded / 2 > 0
+    assert coder.reused == 2 * coder.encoded > 0
+    coder.ids("another beginning " + text[:20_000])
+    assert coder.reused > 2 * coder.encoded
+
+
+def test_passages_that_documents_share_are_reused():
+    words = [f"word{i}" for i in range(400)]
+    coder = ChunkEncoder(WORD)
+    coder.ids("one " + " ".join(words))
+    first = coder.encoded
+    coder.ids("quite another start of a text " + " ".join(words) + " and end")
+    assert coder.encoded - first <= 4 and coder.reused >= first - 3
+
+
+def test_unbroken_texts_and_scripts_without_spaces():
+    """Ids as the library has them, in time proportional to the length."""
+    rng = np.random.default_rng(3)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 30_000)))
+    thai = "".join(map(chr, rng.integers(0x0E01, 0x0E3A, 30_000)))
+    base64 = "".join(rng.choice(list("ABCDEFghijklmnop0123456789+/"), 30_000))
+    for path in (WORD, BYTE):
+        for text in (han, thai, base64, "a" * 30_000, "e\u0301" * 9000, "\u3002".join([han[:4000], thai[:4000]]), base64 + " " + base64 + "\n", " " * 9000, "x" + "\n" * 9000 + "y"):
+            assert ChunkEncoder(path).ids(text).tolist() == ids_of(path, text)
+
+
+def test_a_very_long_word_takes_a_few_times_what_the_library_takes():
+    text = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), 800_000))
+    for path in (WORD, BYTE):
+        began = time.perf_counter()
+        wanted = ids_of(path, text)
+        library, began = time.perf_counter() - began, time.perf_counter()
+        assert ChunkEncoder(path).ids(text).tolist() == wanted
+        assert time.perf_counter() - began < 3 * library + 1
 
 
 def test_encode_digests_and_round_trip(odd_docs, no_docs):
