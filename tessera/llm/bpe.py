@@ -55,23 +55,16 @@ def cuts(data: np.ndarray, bits: int = CHUNK_BITS, smallest: int = SMALLEST) ->
 
 
 class Chunk:
-    """A chunk's pieces: the first and the last as text and ids, those between them as ids only."""
+    """A chunk's first and last piece as text, and the ids of the pieces between them (None: there is one piece or none)."""
 
-    __slots__ = ("first", "last", "ids", "middle", "first_ids", "last_ids", "opens", "ends")
+    __slots__ = ("first", "last", "between", "opens", "ends", "ids")
 
     def __init__(self, text: str, encoder: PieceEncoder):
         pieces = encoder.split(text)
         self.opens, self.ends = _blank(text[0]), _blank(text[-1])  # whether it begins and ends with white space
-        if len(pieces) > 1:
-            records = encoder.records(text)
-            self.first, self.last = pieces[0], pieces[-1]
-            self.first_ids, self.middle, self.last_ids = records[0], b"".join(records[1:-1]), records[-1]
-        else:  # one piece or none: encoded when its end is known
-            self.first = self.last = pieces[0] if pieces else ""
-            self.middle = None
-
-    def size(self) -> int:
-        return 400 if self.middle is None else 500 + len(self.middle)
+        self.first, self.last = (pieces[0], pieces[-1]) if pieces else ("", "")
+        self.between = pieces[1:-1]  # until they have their ids
+        self.ids = b"" if len(pieces) > 1 else None
 
 
 def _blank(char: str) -> bool:
@@ -102,64 +95,71 @@ class ChunkEncoder:
             return " ".join([self.token[i] for i in ids.tolist()])
         return tokenizer(self.encoder.path).decode(ids.tolist(), skip_special_tokens=False)
 
-    def _chunk(self, raw: bytes) -> Chunk:
-        key = xxhash.xxh3_128_digest(raw)
+    def _known(self, key: bytes) -> Chunk | None:
         got = self.young.get(key)
-        if got is not None:
-            self.reused += 1
-            return got
-        got = self.old.get(key)
-        if got is None:
-            got = Chunk(raw.decode("utf-8"), self.encoder)
-            self.encoded += 1
-        else:
-            self.reused += 1
+        if got is None and (got := self.old.get(key)) is not None:
+            self._keep(key, got)
+        return got
+
+    def _keep(self, key: bytes, chunk: Chunk) -> None:
         if self.held > CACHE_BYTES:
             self.young, self.old, self.held = {}, self.young, 0
-        self.young[key] = got
-        self.held += got.size()
-        return got
+        self.young[key] = chunk
+        self.held += 500 + len(chunk.ids or b"")
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, dtype=self.kind)
-        raw = text.encode("utf-8")
-        out: list[bytes] = []
+        raw, new = text.encode("utf-8"), {}
+        out: list[Chunk | int] = []  # chunks, and places in `joins`
+        joins: list[str] = []  # whole pieces at the chunks' edges
         open_: list[str] = []  # what the last piece so far is made of
-        open_ids: bytes | None = None  # its ids, where known
-        blank = True  # whether the text so far ends with white space
-        at = 0
+        blank, at = True, 0  # blank: whether the text so far ends with white space
+
+        def close(*more: str) -> None:
+            out.append(len(joins))
+            joins.append("".join([*open_, *more]))
+            open_.clear()
+
         for end in cuts(np.frombuffer(raw, dtype=np.uint8), self.bits, self.smallest):
-            part = self._chunk(raw[at:end])
+            key = xxhash.xxh3_128_digest(raw[at:end])
+            part = self._known(key) or new.get(key)
+            if part is None:
+                part = new[key] = Chunk(raw[at:end].decode("utf-8"), self.encoder)
+                self.encoded += 1
+            else:
+                self.reused += 1
             at = end
             # White space belongs to the piece that follows it, or to none.
-            joined = open_ and (blank or not part.opens)
-            if open_ and (not joined or not part.first):
-                out.append(self._whole(open_) if open_ids is None else open_ids)
-                open_, joined = [], False
+            if open_ and (not part.first or part.opens and not blank):
+                close()
             blank = part.ends
-            if part.middle is None:
-                if part.first:
-                    open_.append(part.first)
-                    open_ids = None
+            if part.ids is None:
+                open_ += [part.first] * bool(part.first)
             else:
-                if joined:
-                    out.append(self._whole([*open_, part.first]))
-                else:
-                    out.append(part.first_ids)
-                out.append(part.middle)
-                open_, open_ids = [part.last], part.last_ids
+                close(part.first)
+                out.append(part)
+                open_.append(part.last)
             if self.encoder.words and blank and open_:
-                out.append(self._whole(open_) if open_ids is None else open_ids)
-                open_ = []
+                close()
         if open_:
-            out.append(self._whole(open_) if open_ids is None else open_ids)
-        return np.frombuffer(b"".join(out), dtype=self.kind)
-
-    def _whole(self, parts: list[str]) -> bytes:
-        """Ids of one piece made of parts."""
-        return b"".join(self.encoder.records("".join(parts)))
+            close()
+        whole = self._encode(joins, new)
+        return np.frombuffer(b"".join([whole[x] if type(x) is int else x.ids for x in out]), dtype=self.kind)
+
+    def _encode(self, joins: list[str], new: dict[bytes, Chunk]) -> list[bytes]:
+        """Ids of the joins; the new chunks get theirs and are kept. All go to the library together."""
+        todo = [*joins, *(p for chunk in new.values() for p in chunk.between)]
+        values = self.encoder.values(todo)
+        at = len(joins)
+        for key, chunk in new.items():
+            if chunk.ids is not None:
+                chunk.ids = b"".join(values[at : at + len(chunk.between)])
+                at += len(chunk.between)
+            chunk.between = ()
+            self._keep(key, chunk)
+        return values[: len(joins)]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, bits: int, digests: bool) -> Iterator[pa.RecordBatch]:

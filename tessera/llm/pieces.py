@@ -185,7 +185,14 @@ class PieceEncoder:
 
     def records(self, text: str) -> list:
         """The value of each piece of a text."""
-        pieces = self.keys(text)
+        return self._values(self.keys(text))
+
+    def values(self, pieces: list[str]) -> list:
+        """The value of each of some pieces."""
+        return self._values(pieces if self.words else list(map(_key, pieces)))
+
+    def _values(self, pieces: list) -> list:
+        """Values by key."""
         known = self.cache.young.get
         out = list(map(self.fixed.get if self.fixed else known, pieces))
         if None in out:
