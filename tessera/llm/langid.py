@@ -9,32 +9,39 @@ smaller than the next by a margin, the text is marked as rejected.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.classifier import crc32_of
-from tessera.session import table
+from tessera.session import Scratch, table
 
+# Bounds of the labelled sample that the dictionaries are fitted on; predictions have none.
+LANGUAGES = 512  # those with most labelled rows are learned
 SAMPLE = 400  # texts a language
-LONGEST_SAMPLE = 1 << 16  # characters of a text that may serve as a sample
-DICTIONARY = 1 << 17  # bytes
+SAMPLE_BYTES = 16 << 20  # of all languages together, in equal shares
+LONGEST_SAMPLE = 1 << 16  # bytes of a text that may serve as a sample
+DICTIONARY = 1 << 17  # bytes, at most; of all languages together DICTIONARY_BYTES
+DICTIONARY_BYTES = 8 << 20
+
 BLOCK = 4096  # characters that are compressed at a time
-LEVEL = 6
-SHORT, SHORT_LEVEL = 400, 12  # short texts are compressed harder
+LEVEL = 9
 MARGIN = 0.002
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+# What \w holds besides letters and decimal digits: numerals such as fractions and superscripts.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def letters(text: str) -> str:
-    """Lower-cased words of letters, one blank between."""
+    """Lower-cased runs of letters (Unicode categories L), one blank between."""
     return _OTHER.sub(" ", text.lower()).strip()
 
 
@@ -49,12 +56,9 @@ class Classifier:
 
     def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
         self.names = sorted(contents)
-        self.coders, self.short = ([_coder(contents[name], x) for name in self.names] for x in (level, SHORT_LEVEL))
+        self.coders = [_coder(contents[name], level) for name in self.names]
 
     def sizes(self, text: str) -> np.ndarray:
-        if len(text) <= SHORT:
-            raw = f" {text} ".encode()
-            return np.array([len(c.compress(raw)) for c in self.short], dtype=float)
         total = np.zeros(len(self.coders))
         for at in range(0, len(text), BLOCK):
             raw = f" {text[at : at + BLOCK]} ".encode()
@@ -74,47 +78,59 @@ class Classifier:
         return self.names[best], score, bool(next_best - size[best] < margin * size[best])
 
 
-def dictionaries(docs: DataFrame, *, sample: int = SAMPLE, rounds: int = 2, level: int = LEVEL) -> dict[str, bytes]:
-    """Dictionary content by language, from columns doc_id, text and lang of training rows.
+def samples(docs: DataFrame, sample: int, scratch: Scratch) -> dict[str, list[str]]:
+    """Words of some texts by language, from columns doc_id, text and lang of training rows; in order of a hash.
 
-    Fitted on a bounded sample: at most `sample` texts of a language, of at most
-    LONGEST_SAMPLE characters each, those with the smallest hashes of doc_id and
-    text. Samples that the dictionaries of a round give to another language are
-    left out in the next, so a few wrong labels do no harm.
+    At most LANGUAGES languages, `sample` texts and an equal share of
+    SAMPLE_BYTES of each, in texts of at most LONGEST_SAMPLE bytes: what comes
+    to the driver has a fixed size. Rows are drawn by the hash of doc_id and
+    text, some more than needed, and cut to the bounds by language.
     """
-    hashed = docs.filter(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST_SAMPLE}").select("lang", "text", (F.xxhash64("doc_id", "text").cast("double") / float(1 << 64) + 0.5).alias("u"))
-    counts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    shares = [F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 1.5 * sample / n))]
-    rows = hashed.filter(F.col("u") <= F.element_at(F.create_map(*shares), F.col("lang"))).collect()  # bounded: about 1.5 times the sample
+    fit = docs.filter(f"lang IS NOT NULL AND octet_length(text) BETWEEN 1 AND {LONGEST_SAMPLE}")
+    fit = fit.select("lang", "text", (F.xxhash64("doc_id", "text").cast("double") / float(1 << 64) + 0.5).alias("u"))
+    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    counts = scratch.write(counts.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES), "languages")
+    share = SAMPLE_BYTES // max(1, counts.count())
+    odds = F.least(F.lit(1.0), F.greatest(F.lit(8.0) / F.col("n"), F.least(F.lit(1.5 * sample) / F.col("n"), F.lit(1.5 * share) / F.col("bytes"))))
+    drawn = fit.join(F.broadcast(counts.select("lang", odds.alias("odds"))), "lang").filter("u <= odds").drop("odds")
+    order = Window.partitionBy("lang").orderBy("u", "text")
+    drawn = drawn.withColumns({"rank": F.row_number().over(order), "before": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.u, r.text)):
-        if (words := letters(r.text)) and len(texts.setdefault(r.lang, [])) < sample:
-            texts[r.lang].append(words)
-    texts = {k: v for k, v in texts.items() if v}
-    kept = texts
+    for r in sorted(drawn.filter((F.col("rank") <= sample) & ((F.col("before") <= share) | (F.col("rank") == 1))).collect(), key=lambda r: (r.lang, r.rank)):
+        if words := letters(r.text):
+            texts.setdefault(r.lang, []).append(words)
+    return texts
+
+
+def dictionaries(texts: dict[str, list[str]], *, rounds: int = 2, level: int = LEVEL) -> dict[str, bytes]:
+    """Dictionary content by language.
+
+    Samples that the dictionaries of a round give to another language are left
+    out in the next, so a few wrong labels do no harm.
+    """
+    kept, contents = texts, {}
+    size = min(DICTIONARY, DICTIONARY_BYTES // max(1, len(texts)))
     for at in range(rounds):
-        contents = {k: _content(v) for k, v in kept.items()}
+        contents = {k: _content(v, size) for k, v in kept.items()}
         if at < rounds - 1 and len(contents) > 1:
             # every other text is judged without having been in the dictionary
-            odd = Classifier({k: _content(v[1::2] or v) for k, v in kept.items()}, level)
-            even = Classifier({k: _content(v[::2] or v) for k, v in kept.items()}, level)
+            odd = Classifier({k: _content(v[1::2] or v, size) for k, v in kept.items()}, level)
+            even = Classifier({k: _content(v[::2] or v, size) for k, v in kept.items()}, level)
             good = {k: [t for i, t in enumerate(v) if (odd, even)[i % 2].names[int((odd, even)[i % 2].sizes(t).argmin())] == k] for k, v in texts.items()}
             kept = {k: good[k] or texts[k] for k in texts}
     return contents
 
 
-def _content(texts: list[str]) -> bytes:
+def _content(texts: list[str], limit: int = DICTIONARY) -> bytes:
     """Samples in turn up to the size of a dictionary; those first in order stand last, nearest to the text."""
     out, size = [], 0
     for t in texts:
         raw = t.encode()
-        if out and size + len(raw) > DICTIONARY:
+        if out and size + len(raw) > limit:
             continue
         out.append(raw)
         size += len(raw)
-    return b" ".join(reversed(out))[-DICTIONARY:]
+    return b" ".join(reversed(out))[-limit:]
 
 
 def _fold():
@@ -130,7 +146,7 @@ class _Model:
     def __init__(self, docs: DataFrame, margin: float, level: int, sample: int):
         spark = docs.sparkSession
         known = docs.filter(_fold() != 2).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        self.held = spark.sparkContext.broadcast(dictionaries(known, sample=sample, level=level))
+        self.held = spark.sparkContext.broadcast(dictionaries(samples(known, sample, Scratch(spark, "language")), level=level))
         self.key = (spark.sparkContext.applicationId, self.held._jbroadcast.id())
         self.margin, self.level = margin, level
 
@@ -160,7 +176,9 @@ def identify(docs: DataFrame, *, margin: float = MARGIN, level: int = LEVEL, sam
     where the text is null or has no letter, or nothing could be learned. score:
     share of the best language when sizes are read as log-likelihoods. rejected:
     the next language's size is within `margin` of the smallest. A null doc_id is
-    neither learned from nor held out. Repeated rows get equal answers.
+    neither learned from nor held out. Repeated rows get equal answers; other
+    columns are ignored. Texts of any length are compressed whole, in blocks; an
+    empty table gives no rows. Ties of sizes go to the first language by name.
     """
     model = _Model(docs, margin, level, sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))

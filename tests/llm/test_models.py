@@ -3,13 +3,16 @@
 import math
 import re
 import time
+import unicodedata
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
-from tessera.llm import classifier, rules, urls
+from tessera.llm import classifier, langid, rules, urls
 from tessera.llm.langid import identified, identify
 from tessera.session import table
 
@@ -39,6 +42,52 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert identify(no_docs).count() == 0 and identified(no_docs).count() == 0
 
 
+def test_letters_are_of_category_l():
+    for c in map(chr, range(0x30000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert bool(langid.letters(c)) == any(unicodedata.category(x)[0] == "L" for x in c.lower()), hex(ord(c))
+
+
+def test_numerals_are_no_letters(spark, docs):
+    odd = spark.createDataFrame([(-1, "½ ² ①", None, "s", 0.5), (-2, "½ the house of the ½", None, "s", 0.5)], "doc_id long, text string, lang string, source string, score double")
+    got = {r.doc_id: r for r in identify(docs.select("doc_id", "text", "lang", "source").withColumn("score", F.lit(0.5)).unionByName(odd)).filter("doc_id < 0").collect()}
+    assert (got[-1].lang_pred, got[-1].score, got[-1].rejected) == ("und", 0.0, True) and got[-2].lang_pred != "und"
+
+
+def test_predictions_equal_sizes_compressed_one_by_one(spark):
+    """Each whole text, in blocks, against each language's dictionary by plain calls of the library."""
+    some = table(spark, "/root/testdata/sf0.001", "documents")
+    known = some.filter("crc32(cast(doc_id AS string)) % 4 <> 2")
+    contents = langid.dictionaries(langid.samples(known, langid.SAMPLE, langid.Scratch(spark, "test")))
+    got = {r.doc_id: r for r in identify(some).collect()}
+    for r in some.collect():
+        words = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = {}
+        for name, raw in contents.items():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            parts = [words[a : a + langid.BLOCK] for a in range(0, len(words), langid.BLOCK)]
+            sizes[name] = sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(f" {x} ".encode())) for x in parts)
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[r.doc_id].lang_pred] == best and got[r.doc_id].rejected == (second - best < langid.MARGIN * best)
+
+
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    """5,000 languages, and one with many long texts: bytes, texts and languages stay within the bounds."""
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 1 << 20)
+    monkeypatch.setattr(langid, "LANGUAGES", 40)
+    rows = [(i, f"words of text number {i}", f"l{i:04d}") for i in range(5000)]
+    rows += [(5000 + i, "another long text " * 500, "l0007") for i in range(800)] + [(9000 + i, f"some text {i}", "l0008") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.samples(docs, 300, langid.Scratch(spark, "test"))
+    assert len(texts) == 40 and {"l0007", "l0008"} <= set(texts)
+    assert 1 <= len(texts["l0007"]) <= 3 and 250 < len(texts["l0008"]) <= 300
+    assert all(len(" ".join(v)) <= (1 << 20) / 40 + 100 for v in texts.values())
+    assert sum(map(len, langid.dictionaries(texts).values())) <= langid.DICTIONARY_BYTES
+
+
 def brute(text):
     words = WORD.findall(text or "")
     seen, covered = {}, set()
