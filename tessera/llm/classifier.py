@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.textvec import slices, windows
-from tessera.llm.trees import merged
+from tessera.llm.trees import SUMMARY, merged, summary
 from tessera.session import Scratch, table
 
 _KINDS = {"upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A), "space": (0x20, *range(0x09, 0x0E)), "stop": b".,;:", "mark": b"!?", "symbol": b"#*$%&|<>", "tail": range(0x80, 0xC0), "lead": range(0xC0, 0x100)}
@@ -75,7 +75,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             x = np.column_stack([np.ones(batch.num_rows), _matrix(batch.column("x"))])
             total += [x.sum(axis=0), (x * x).sum(axis=0)]
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+    yield summary(total.tobytes())
 
 
 def _sum(a: bytes, b: bytes) -> bytes:
@@ -105,7 +105,7 @@ def _normal(batches: Iterator[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.Re
             z, y = kernel(_matrix(part.column("x"))), part.column("label").to_numpy(zero_copy_only=False).astype(float)
             total[:n] += z.T @ z
             total[n] += z.T @ y
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+    yield summary(total.tobytes())
 
 
 def isotonic(at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +142,15 @@ def fit(statistics: DataFrame, labels: DataFrame, scratch: Scratch, *, features:
     fold = crc32_of("doc_id") % 5
     known = scratch.write(statistics.join(marked, F.col("doc_id") == F.col("labelled")).select("x", "label", fold.alias("fold")).filter("fold <> 0"), "known")
     first, tune = known.filter("fold <> 4"), known.filter("fold = 4")
-    blob = merged(first.select("x").mapInArrow(_moments, "blob binary"), _sum) or np.zeros((2, len(STATISTICS) + 1)).tobytes()
+    blob = merged(first.select("x").mapInArrow(_moments, SUMMARY), _sum, scratch, "moments") or np.zeros((2, len(STATISTICS) + 1)).tobytes()
     total = np.frombuffer(blob).reshape(2, -1)
     n = total[0, 0]
     mean = total[0, 1:] / max(n, 1)
     kernel = Kernel(mean, np.sqrt(np.maximum(total[1, 1:] / max(n, 1) - mean**2, 0)), features, width, seed)
     if not n:
         return Model(kernel, np.zeros(features + 1), (np.array([-1.0, 2.0]), np.array([0.5, 0.5])))
-    sums = np.frombuffer(merged(first.select("x", "label").mapInArrow(partial(_normal, kernel=kernel), "blob binary"), _sum)).reshape(-1, features + 1)
+    normal = first.select("x", "label").mapInArrow(partial(_normal, kernel=kernel), SUMMARY)
+    sums = np.frombuffer(merged(normal, _sum, scratch, "normal")).reshape(-1, features + 1)
     penalty = ridge * np.eye(features + 1)
     penalty[0, 0] = 1e-6
     weights = np.linalg.solve(sums[:-1] + penalty, sums[-1])
@@ -184,7 +185,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     calibration where it is 4. Nulls among labels and ids are left out. Null and
     empty texts are scored as texts without words; a null doc_id is scored and
     not held out. Repeated rows get equal scores. Without labels every score is
-    0.5; other columns are ignored.
+    0.5; other columns are ignored. Texts of any length count whole; an empty
+    table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     x = scratch.write(document_statistics(docs), "statistics")

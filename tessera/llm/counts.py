@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import LONGEST, PieceEncoder, public_path, worker_encoder
-from tessera.llm.trees import merged
-from tessera.session import table
+from tessera.llm.trees import SUMMARY, merged, summary
+from tessera.session import Scratch, table
 
 TABLE_SIZE = 1 << 15
 
@@ -45,14 +45,13 @@ def _summaries(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Itera
     for batch in batches:
         for text in batch.column(0):
             if text.is_valid:
-                counts.update(split(text.as_py()))
+                pieces = split(text.as_py())
+                if max(map(len, pieces), default=0) > LONGEST:  # those are never in the table
+                    pieces = [p for p in pieces if len(p) <= LONGEST]
+                counts.update(pieces)
                 if len(counts) > 8 * size:
                     counts = _trim(counts, size)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trim(_short(counts), size))], pa.binary())], ["blob"])
-
-
-def _short(counts: Counter) -> Counter:
-    return Counter({k: v for k, v in counts.items() if len(k) <= LONGEST})
+    yield summary(pickle.dumps(_trim(counts, size)))
 
 
 def _join(a: bytes, b: bytes, size: int) -> bytes:
@@ -60,8 +59,9 @@ def _join(a: bytes, b: bytes, size: int) -> bytes:
 
 
 def frequent_lengths(texts: DataFrame, path: str, size: int) -> dict[str, int]:
-    """Token lengths of at most `size` frequent pre-tokens of column text."""
-    blob = merged(texts.select("text").mapInArrow(partial(_summaries, path=path, size=size), "blob binary"), partial(_join, size=size))
+    """Token lengths of at most `size` frequent pre-tokens of column text, of at most LONGEST characters each."""
+    blobs = texts.select("text").mapInArrow(partial(_summaries, path=path, size=size), SUMMARY)
+    blob = merged(blobs, partial(_join, size=size), Scratch(texts.sparkSession, "counts"), "summaries")
     words = list(pickle.loads(blob)) if blob else []
     return dict(zip(words, PieceEncoder(path, lengths=True).encoded(words), strict=True))
 
@@ -97,7 +97,9 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, table_size: i
 
     Null and empty texts have no bytes and no tokens. Rows are independent:
     repeated ids, null ids and other columns change nothing; an empty table
-    gives no rows. Special strings in a text count as the library's default has it.
+    gives no rows. Special strings in a text count as the library's default has
+    it. Texts of any length count whole; a piece above LONGEST characters is
+    neither in the table nor in a cache but encoded each time.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lengths = {} if path.endswith(".model") else frequent_lengths(texts, path, table_size)

@@ -5,10 +5,10 @@ by doc_id, each task writes one file, and the files' names rise with the ranges.
 A file is an Arrow IPC stream whose batches hold `rows` sequences each: column
 ids is a fixed-size list of `length` ids (two bytes each where the vocabulary
 allows), column mask a fixed-size list of booleans. All batches but a short
-last one are equally long, so sequence i lies at a computed place of a
-memory-mapped file and its ids are a view of the file, not a copy. The ids of a
-file's documents run on from sequence to sequence; the rest of its last sequence
-is masked out. A second stream file beside it, `.docs`, holds doc_id, start and
+last one are equally long, also in bytes, so sequence i lies at a computed place
+(SequenceFile) and its ids and mask are views of a memory-mapped file, not
+copies. The ids of a file's documents run on from sequence to sequence; the rest
+of its last sequence is masked out. A second stream file beside it, `.docs`, holds doc_id, start and
 n_tokens of each document, start counted within the file.
 """
 
@@ -95,23 +95,39 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, root: str,
         writer.close()
         index.close()
     for kind_of in ("docs", "ids"):
-        fs.move(f"{own}.{kind_of}", f"{base}/{name}.{kind_of}")
+        put_in_place(fs, f"{own}.{kind_of}", f"{base}/{name}.{kind_of}")
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["part", "name", "n_docs", "n_tokens"])
 
 
+def put_in_place(fs: pyarrow.fs.FileSystem, own: str, place: str) -> None:
+    """Move a whole file to its place; where a repeated task finds the file of an earlier one, which has the same bytes, that one stays."""
+    there = lambda: fs.get_file_info(place).type != pyarrow.fs.FileType.NotFound
+    if not there():
+        try:
+            fs.move(own, place)
+            return
+        except OSError:
+            if not there():  # no other task was quicker
+                raise
+    fs.delete_file(own)
+
+
 def write_token_files(docs: DataFrame, path: str, root: str, *, end_id: int, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """Write docs (doc_id, text) below the URI root, on storage that all executors share.
 
     Returns one row per file: part, name, n_docs, n_tokens and start (ids of all
     files before it). Null texts are empty and have their end id only. A null
-    doc_id comes first; rows of one doc_id follow each other by text. An empty
-    table gives files without documents. Other columns are ignored.
+    doc_id comes first; rows of one doc_id follow each other by the hash of
+    their texts, also from one file to the next. Texts of any length run on over
+    as many sequences as they need. An empty table gives files without
+    documents. Other columns are ignored.
     """
     spark = docs.sparkSession
     fs, base = pyarrow.fs.FileSystem.from_uri(root)
     fs.create_dir(base, recursive=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     write = partial(_write, path=path, end_id=end_id, root=root, length=length, rows=rows)
     files = ranged.mapInArrow(write, _SUMMARY).collect()  # a few bytes a file
     at, listed = 0, []
@@ -121,34 +137,66 @@ def write_token_files(docs: DataFrame, path: str, root: str, *, end_id: int, len
     return spark.createDataFrame(listed, f"{_SUMMARY}, start long")
 
 
-def open_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, mask) of each batch of a local token file, the ids as views of the mapped file."""
-    with pa.memory_map(path) as source, pa.ipc.open_stream(source) as stream:
-        for batch in stream:
-            width = batch.schema.field("ids").type.list_size
-            yield batch.column(0).flatten().to_numpy().reshape(-1, width), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+class SequenceFile:
+    """Random access to the sequences of a token file, by its path (memory-mapped, no copies) or as an open pyarrow file.
+
+    The first batch tells how many sequences and bytes a batch has; any other is
+    then found at a multiple of that. Only batches that are asked for are read;
+    the last one stays at hand.
+    """
+
+    def __init__(self, source: str | pa.NativeFile):
+        self.source = pa.memory_map(source) if isinstance(source, str) else source
+        self.schema = pa.ipc.read_schema(self.source)
+        self.start = self.source.tell()
+        self.length = self.schema.field("ids").type.list_size
+        self.at = 0
+        self.batch = self._next()
+        self.rows = self.batch.num_rows if self.batch else 0
+        self.bytes = self.source.tell() - self.start
+        self.reads = 1  # batches read so far
+
+    def _next(self) -> pa.RecordBatch | None:
+        try:
+            return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        except EOFError:
+            return None
+
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence i; IndexError beyond the last."""
+        at, row = divmod(i, self.rows) if self.rows and i >= 0 else (0, 0)
+        if not self.rows or i < 0:
+            raise IndexError(i)
+        if at != self.at or self.batch is None:
+            self.at, self.batch = at, None
+            if self.start + at * self.bytes < self.source.size():
+                self.source.seek(self.start + at * self.bytes)
+                self.batch = self._next()
+                self.reads += 1
+        if self.batch is None or row >= self.batch.num_rows:
+            raise IndexError(i)
+        ids, mask = self.batch.columns
+        return ids.values[row * self.length : (row + 1) * self.length].to_numpy(), mask.values[row * self.length : (row + 1) * self.length]
+
+    def ids(self, start: int, size: int) -> np.ndarray:
+        """Ids of the places start to start + size, counted through all sequences; a view where one sequence holds them."""
+        parts = []
+        while size > 0:
+            i, at = divmod(start, self.length)
+            parts.append(self.sequence(i)[0][at : at + size])
+            start, size = start + len(parts[-1]), size - len(parts[-1])
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint16), *parts])
 
 
 def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
     fs, base = pyarrow.fs.FileSystem.from_uri(root)
     for batch in batches:
         for name, before in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            with fs.open_input_stream(f"{base}/{name}.ids") as ids_source, fs.open_input_stream(f"{base}/{name}.docs") as docs_source, pa.ipc.open_stream(ids_source) as stream, pa.ipc.open_stream(docs_source) as index:
-                flat, first = np.zeros(0, dtype=np.uint32), 0  # ids from place `first` on
+            with fs.open_input_file(f"{base}/{name}.ids") as source, fs.open_input_stream(f"{base}/{name}.docs") as docs_source, pa.ipc.open_stream(docs_source) as index:
+                sequences = SequenceFile(source)
                 for docs in index:
                     starts, sizes = docs.column(1).to_numpy(), docs.column(2).to_numpy()
-                    crcs = []
-                    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                        if start + size > first + len(flat):
-                            parts = [flat[start - first :]]
-                            got = len(parts[0])
-                            while got < size:
-                                more = stream.read_next_batch()
-                                mask = more.column(1).flatten().to_numpy(zero_copy_only=False)
-                                parts.append(more.column(0).flatten().to_numpy()[mask].astype("<u4"))
-                                got += len(parts[-1])
-                            flat, first = np.concatenate(parts).astype("<u4", copy=False), start
-                        crcs.append(zlib.crc32(flat[start - first : start - first + size].tobytes()))
+                    crcs = [zlib.crc32(sequences.ids(start, size).astype("<u4").tobytes()) for start, size in zip(starts.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + before), docs.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -1,18 +1,24 @@
 """BPE by chunks, token files and token counts against the library itself."""
 
+import pickle
 import time
 import zlib
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ChunkEncoder, cuts, digests, encode
+from tessera.llm import counts
 from tessera.llm.counts import frequent_lengths, token_counts
 from tessera.llm.pieces import PieceEncoder, public_path, tokenizer
-from tessera.llm.tokenio import open_sequences, read_token_files, write_token_files
+from tessera.llm.tokenio import SequenceFile, SequenceWriter, put_in_place, read_token_files, write_token_files
+from tessera.llm.trees import FAN_IN, SUMMARY, merged
 from tessera.session import Scratch
 
 WORD, BYTE = public_path("word_bpe_49k.json"), public_path("byte_bpe_50k.json")
@@ -121,17 +127,85 @@ def test_token_files(spark, odd_docs, no_docs):
     files = write_token_files(odd_docs, BYTE, root, end_id=2, length=16, rows=4)
     got = read_token_files(files, root).collect()
     at, wanted = 0, []
-    for r in sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+    hashed = odd_docs.withColumn("hash", F.xxhash64("text")).collect()
+    for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash)):
         ids = [*ids_of(BYTE, r.text), 2]
         wanted.append((str(r.doc_id), at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(wanted)
-    name = files.filter("n_tokens > 0").first().name
-    path = f"{root.removeprefix('file://')}/{name}.ids"
-    for ids, mask in open_sequences(path):
-        assert ids.shape == mask.shape and ids.shape[1] == 16
-        assert not ids.flags.owndata  # a view of the mapped file
-    with pa.memory_map(path) as source:
-        assert pa.types.is_fixed_size_list(pa.ipc.open_stream(source).schema.field("ids").type)
     empty = Scratch(spark, "files").root
     assert read_token_files(write_token_files(no_docs, BYTE, empty, end_id=2), empty).count() == 0
+
+
+def test_any_sequence_of_a_file_is_a_view_at_a_computed_place(tmp_path):
+    flat = np.random.default_rng(2).integers(0, 50_000, 16 * 4 * 9 + 37).astype("<u2")
+    path = str(tmp_path / "some.ids")
+    with pa.OSFile(path, "wb") as sink:
+        writer = SequenceWriter(sink, flat.dtype, 16, 4)
+        for at in range(0, len(flat), 31):
+            writer.append(flat[at : at + 31])
+        writer.close()
+    n = -(-len(flat) // 16)
+    file = SequenceFile(path)
+    for i in (n - 1, 0, 30, 5, 30, 31):
+        before = file.reads
+        ids, mask = file.sequence(i)
+        assert file.reads - before <= 1  # no batch but the one that holds it
+        assert not ids.flags.owndata and len(ids) == len(mask) == 16
+        some = flat[16 * i : 16 * i + 16]
+        assert ids[: len(some)].tolist() == some.tolist() and mask.to_pylist() == [k < len(some) for k in range(16)]
+    data = np.memmap(path, dtype=np.uint8)
+    held = file.sequence(7)[0]
+    assert data.tobytes().find(held.tobytes()) >= 0
+    for i in (n + 3, 10_000, -1):
+        with pytest.raises(IndexError):
+            file.sequence(i)
+    for start, size in ((0, 5), (14, 40), (100, 0), (16 * 4 * 9 - 3, 30)):
+        assert file.ids(start, size).tolist() == flat[start : start + size].tolist()
+    with pa.OSFile(path, "wb") as sink:
+        SequenceWriter(sink, flat.dtype, 16, 4).close()
+    with pytest.raises(IndexError):
+        SequenceFile(path).sequence(0)
+
+
+def test_a_repeated_task_leaves_the_file_that_is_there(tmp_path):
+    class Strict(pyarrow.fs.LocalFileSystem):
+        """Renames fail where the target exists, and the other task is quicker between the look and the move."""
+
+        quicker = False
+
+        def move(self, own, place):
+            if self.quicker:
+                (tmp_path / "file").write_text("whole")
+            if self.get_file_info(place).type != pyarrow.fs.FileType.NotFound:
+                raise OSError("target exists")
+            super().move(own, place)
+
+    for quicker in (False, True):
+        fs = Strict()
+        fs.quicker = quicker
+        for _ in range(2):
+            (tmp_path / "own").write_text("whole")
+            put_in_place(fs, str(tmp_path / "own"), str(tmp_path / "file"))
+            assert sorted(p.name for p in tmp_path.iterdir()) == ["file"] and (tmp_path / "file").read_text() == "whole"
+        (tmp_path / "file").unlink()
+    with pytest.raises(OSError):
+        put_in_place(pyarrow.fs.LocalFileSystem(), str(tmp_path / "none"), str(tmp_path / "file"))
+
+
+def test_long_pieces_do_not_fill_the_summaries(monkeypatch):
+    rng = np.random.default_rng(1)
+    batches = (pa.record_batch({"text": [" ".join("".join(rng.choice(list("abcdef"), 2000)) for _ in range(50)) + " short words"]}) for _ in range(8))
+    held, trim = [], counts._trim
+    monkeypatch.setattr(counts, "_trim", lambda found, size: held.append(sum(map(len, found))) or trim(found, size))
+    monkeypatch.setattr(counts, "summary", lambda blob: blob)
+    (blob,) = counts._summaries(batches, WORD, 100)
+    assert held == [len("shortwords")] and set(pickle.loads(blob)) == {"short", "words"}
+
+
+def test_summaries_meet_in_order_and_few_at_a_time(spark):
+    join = lambda a, b: a + b"," + b
+    for n in (0, 1, FAN_IN, FAN_IN + 1, 3 * FAN_IN * FAN_IN + 5):
+        rows = [(i, str(i).encode()) for i in range(n) if i % 7 != 3]  # some tasks give none
+        got = merged(spark.createDataFrame(rows, SUMMARY).repartition(5), join, Scratch(spark, "tree"), "rows")
+        assert got == (b",".join(b for _, b in rows) if rows else None)
