@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. Within its source the keys are dealt to
+Each document gets a hash-random key, of its id and text. Within its source the keys are dealt to
 ranges of equal width, so a source of any size becomes many sorted ranges of
 bounded size; running sums within the ranges and over the ranges' totals give
 each document the tokens before it. A source takes whole epochs while its target
@@ -27,8 +27,27 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != ""))).cast("long")
 
 
-def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source.
+def before_in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch, name: str) -> DataFrame:
+    """rows with the sums of what stands before each in an order, as columns.
+
+    Rows are dealt to sorted ranges; sums run within the ranges and over the
+    ranges' totals, one row a range, so no task has all rows. The order must
+    tell all rows apart.
+    """
+    given = rows.columns
+    keys = {f"_k{i}": x for i, x in enumerate(order)}
+    ranged = rows.withColumns({**keys, **{f"_x_{k}": v for k, v in sums.items()}})
+    ranged = scratch.write(ranged.repartitionByRange(*[F.asc_nulls_last(k) for k in keys]).withColumn("_range", F.spark_partition_id()), name)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
+    totals = totals.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    within = Window.partitionBy("_range").orderBy(*[F.asc_nulls_last(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns({f"_w_{k}": F.coalesce(F.sum(f"_x_{k}").over(within), F.lit(0)) for k in sums})
+    return inside.join(totals, F.col("_range") == F.col("_r")).select(*given, *[(F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(source, source_size, target) from (source, source_size): one row a source, of which there may be any number.
 
     Sources in code-point order, null last, weigh `weights` in turn. Filling up
     to one common level (tokens a unit of weight) with each source stopped at
@@ -36,17 +55,14 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     of the level at which they are full, each stopped source raises the level
     of the others and each that is not would lower it: the highest is the one.
     """
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))).cast("int") + 1)
-    rows = sizes.select("source", "source_size", pick.alias("w")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_full = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_full.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    rows = rows.withColumns({
-        "left": F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "open_w": F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-    })
-    level = F.max(F.col("left") / F.col("open_w")).over(every)
-    return rows.select("source", "source_size", F.least("cap", level * F.col("w")).alias("target"))
+    rows = before_in_order(sizes.select("source", "source_size"), [F.col("source")], {"place": F.lit(1)}, scratch, "ranked")
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    rows = rows.select("source", "source_size", pick.alias("w")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    rows = scratch.write(before_in_order(rows, [F.col("cap") / F.col("w"), F.col("source")], {"cap_before": F.col("cap"), "w_before": F.col("w")}, scratch, "filled"), "caps")
+    every = rows.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    left = F.col("all_size") * F.lit(share) - F.col("cap_before")
+    level = rows.join(F.broadcast(every)).agg(F.max(left / (F.col("all_w") - F.col("w_before"))).alias("level"))
+    return rows.join(F.broadcast(level)).select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -62,17 +78,18 @@ def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int,
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = n_words(F.col("text").cast("string")) if size is None else size
-    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key"))
     rows = scratch.write(rows, "sized")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     totals = scratch.write(totals, "totals")
-    targets = source_targets(totals.select("source", "source_size"), weights=weights, share=share, most=most)
+    targets = source_targets(totals.select("source", "source_size"), scratch, weights=weights, share=share, most=most)
     ranges = F.ceil(F.col("n") / range_rows).cast("long")
     plan = totals.select(F.col("source").alias("s"), "n").withColumn("ranges", ranges).join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s", "n")
     plan = scratch.write(plan, "plan").withColumnRenamed("source", "s")
     # A range number goes with the source from here on: (source, range) is bounded whatever the source's share.
-    place = F.floor(F.conv(F.substring(F.coalesce("key", F.lit("")), 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(float(1 << 32))).cast("long")
-    rows = rows.join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("range", F.coalesce(place, F.lit(0)))
+    place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(float(1 << 32))).cast("long")
+    rows = rows.join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("range", place)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base"))
@@ -119,7 +136,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
     WITH sized AS (
-        SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size
+        SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size,
+               md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
         FROM documents),
     totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
     weighed AS (
@@ -136,7 +154,7 @@ OP10_SQL = """
     placed AS (
         SELECT s.doc_id, s.size, t.source_size, t.target, t.due,
                CASE WHEN t.source_size > 0 THEN t.due // t.source_size ELSE 0 END AS epochs,
-               coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+               coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(due - epochs * source_size - before, size)) AS BIGINT) AS taken
     FROM placed

@@ -7,13 +7,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import jaccard
 from tessera.llm.jaccard import OP5_SQL, Bands, one_of_each_group, similar_groups
-from tessera.llm.mixing import OP10_SQL, mix_plan, op10, mixed, source_targets
+from tessera.llm.mixing import OP10_SQL, before_in_order, mix_plan, op10, mixed, source_targets
 from tessera.llm.topk import OP9_SQL, op9, top_k, vectors_of
-from tessera.session import table
+from tessera.session import Scratch, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -259,13 +260,48 @@ def test_sql(spark, name, sql, query):
 
 
 def test_targets_are_reshared(spark):
-    sizes = {"a": 10, "b": 1000, "c": 1, None: 500, "d": 0}
-    got = {r.source: r.target for r in source_targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")).collect()}
-    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
-    assert all(got[k] <= 2 * v + 1e-9 for k, v in sizes.items())
-    weights = dict(zip(["a", "b", "c", "d", None], [5, 2, 1, 5, 2], strict=True))
-    open_ = {got[k] / weights[k] for k in sizes if got[k] < 2 * sizes[k] - 1e-9}
-    assert max(open_, default=0) - min(open_, default=0) < 1e-6
+    random.seed(3)
+    for sizes in ({"a": 10, "b": 1000, "c": 1, None: 500, "d": 0}, {None: 3}, {f"host{i}": random.choice([0, 1, 7, 7, 50, 10**6]) for i in range(3000)}):
+        rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long").repartition(7)
+        got = {r.source: r.target for r in source_targets(rows, Scratch(spark, "test")).collect()}
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+        assert all(got[k] <= 2 * v + 1e-9 for k, v in sizes.items())
+        names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
+        weights = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+        open_ = {got[k] / weights[k] for k in sizes if got[k] < 2 * sizes[k] - 1e-9}
+        assert max(open_, default=0) - min(open_, default=0) < 1e-6 * max(open_, default=1)
+
+
+def test_sums_before_each_row_over_several_ranges(spark):
+    rows = [(i * 7919 % 1000, float(i)) for i in range(1000)] + [(None, 5.0)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(5)
+    # ranges that adaptive execution does not put together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: (r.n, r.s) for r in before_in_order(df, [F.col("k")], {"n": F.lit(1), "s": F.col("x")}, Scratch(spark, "test"), "rows").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at, want = 0.0, {}
+    for n, (k, x) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        want[k], at = (n, at), at + x
+    assert got == want
+
+
+def test_null_ids_spread_over_ranges(spark):
+    """Half of the ids are null, some repeat: the plan adds up, and no range holds all of them."""
+    rows = [(None if i % 2 else i // 3, " ".join(f"w{j}" for j in range(i % 40)) + f" x{i}", "ab"[i % 5 == 0]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mix_plan(docs, range_rows=20)
+    by = {}
+    for r in plan.collect():
+        by.setdefault(r.source, []).append(r)
+    assert sum(map(len, by.values())) == len(rows)
+    for of in by.values():
+        assert sum(r.taken for r in of) == int(of[0].target) and sum(r.size for r in of) == of[0].source_size
+        null = [r for r in of if r.doc_id is None]
+        assert 0.2 < sum(r.part for r in null) / max(1, sum(r.part for r in of)) < 0.8 or not any(r.part for r in of)
+    again = mix_plan(docs.repartition(11), range_rows=20)
+    assert sorted(map(str, plan.collect())) == sorted(map(str, again.collect()))
 
 
 def test_mix_of_odd_rows(odd_docs, no_docs):
