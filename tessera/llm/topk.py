@@ -1,14 +1,17 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are held as integers, floor(1024 x) of each component. A task packs its
-vectors in blocks and inverts each: postings (row, value) by dimension, cut into
-segments by quantised impact, that is by the size of the value on a geometric
-scale. Segments are processed by falling impact for a block of queries at once,
-each adding its exact products to the accumulators. After a level a pair can
-still gain what the rest of its vector allows: at most |q| |rest| (Cauchy and
-Schwarz), and at most the level's largest value times the sum of |q|. When that
-proves nearly all pairs to stay below the score that a member needs, processing
-stops and the pairs that are left are scored exactly. Nothing is approximate.
+Vectors are held as integers, floor(1024 x) of each component. The index is a
+written table of blocks. A task packs its vectors in blocks, by falling norm,
+and inverts each: postings (row, value) by dimension, cut into segments by
+quantised impact, that is by the size of the value on a geometric scale. A block
+whose norms prove that no pair reaches the score that a member needs is passed
+over. Else its segments are processed by falling impact for a block of queries
+at once, each adding its exact products to the accumulators. After a level a
+pair can still gain what the rest of its vector allows: at most |q| |rest|
+(Cauchy and Schwarz), and at most the level's largest value times the sum of
+|q|. When that proves so many pairs to stay below the needed score that scoring
+the others exactly takes less work than the postings that are left, processing
+stops and they are scored. Nothing is approximate.
 
 The needed score starts from some rows of the vectors and rises with each
 block. Queries go out in broadcasts of bounded size, one pass over the vectors
@@ -28,12 +31,15 @@ from pyspark.sql import functions as F
 from tessera.session import Scratch, table
 
 ROWS = 2048  # vectors a block
+SORTED = 1 << 15  # vectors that a task sorts by norm at a time
 QUERY_BLOCK = 256
 QUERY_BYTES = 16 << 20  # of one broadcast
 PEERS = 1024  # rows of vectors that the first bound is taken from
-LEVELS, STEP = 10, 0.75
-RESCORE = 0.01  # share of pairs that may be left for exact scoring
+LEVELS, STEP = 14, 0.82
+RESCORE = 3.0  # work of scoring a pair exactly, in that of processing the postings of a vector
 NONE = np.iinfo(np.int64).min
+LIMIT = float(1 << 62)  # of products of norms: sums of products then fit 64 bits
+_INDEX = "width int, ids binary, kind string, v binary, level binary, top double, norm double"
 
 
 def vectors_of(df: DataFrame, scale: int = 1024) -> DataFrame:
@@ -46,46 +52,105 @@ def vectors_of(df: DataFrame, scale: int = 1024) -> DataFrame:
 class Block:
     """Impact-ordered postings of some vectors of one length."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, level: np.ndarray | None = None):
         self.ids, self.v = ids, v
-        size = np.abs(v)
-        top = float(size.max(initial=0))
-        self.bounds = [top * STEP**i for i in range(LEVELS)] + [0.0]
+        size = np.abs(v.astype(float))
+        self.top = float(size.max(initial=0))
+        self.bounds = [self.top * STEP**i for i in range(LEVELS)] + [0.0]
         # level i holds sizes in (bounds[i + 1], bounds[i]]
-        level = np.full(v.shape, -1)
-        for i in range(LEVELS):
-            level[(size > self.bounds[i + 1]) & (size <= self.bounds[i])] = i
-        self.level = level
-        self.rest = [np.sqrt((np.where(level > i, size, 0).astype(float) ** 2).sum(axis=1)) for i in range(LEVELS)]
+        self.level = LEVELS - 1 - np.searchsorted(self.bounds[-2:0:-1], size).astype(np.int8) if level is None else level
+        self.level[size == 0] = -1
+        self.square = size**2
+        self.norm = float(np.sqrt(self.square.sum(axis=1).max(initial=0)))
+        self.seen = self.all = 0  # postings processed, rescored vectors counting whole; postings times queries
+
+    @staticmethod
+    def packed(ids: np.ndarray, v: np.ndarray) -> dict:
+        """A row of the index table."""
+        made = Block(ids, v)
+        kind = next(k for k in ("<i2", "<i4", "<i8") if -np.iinfo(k).max <= v.min(initial=0) and v.max(initial=0) <= np.iinfo(k).max or k == "<i8")
+        return {"width": v.shape[1], "ids": ids.astype("<i8").tobytes(), "kind": kind, "v": v.astype(kind).tobytes(), "level": made.level.tobytes(), "top": made.top, "norm": made.norm}
 
-    def segments(self, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        at = self.level == i
-        for d in np.flatnonzero(at.any(axis=0)):
-            rows = np.flatnonzero(at[:, d])
-            yield int(d), rows, self.v[rows, d]
+    @staticmethod
+    def unpacked(row: dict) -> Block:
+        ids = np.frombuffer(row["ids"], dtype="<i8")
+        shape = (len(ids), row["width"])
+        return Block(ids, np.frombuffer(row["v"], dtype=row["kind"]).reshape(shape).astype(np.int64), np.frombuffer(row["level"], dtype=np.int8).reshape(shape).copy())
 
     def members(self, queries: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of every pair whose score is at least what its query needs."""
-        total = np.zeros((len(self.ids), len(queries)), dtype=np.int64)
         norm = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+        if self.norm * norm.max(initial=0) >= LIMIT:
+            raise OverflowError("components are too large for inner products of 64 bits")
+        counts = np.bincount(self.level.reshape(-1) + 1, minlength=LEVELS + 1)[1:]
+        self.all += int(counts.sum()) * len(queries)
+        able = np.flatnonzero(self.norm * norm * (1 + 1e-9) + 1 >= need)  # the others need more than the largest vector can give
+        if not len(able):
+            return able, able, able
+        if len(able) < len(queries):
+            query, row, score = self._members(queries[able], need[able], norm[able], counts)
+            return able[query], row, score
+        return self._members(queries, need, norm, counts)
+
+    def _members(self, queries: np.ndarray, need: np.ndarray, norm: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        total = np.zeros((len(self.ids), len(queries)), dtype=np.int64)
         mass = np.abs(queries).sum(axis=1)
         columns = np.ascontiguousarray(queries.T)
+        every = max(1, int(counts.sum()))
+        left = int(counts.sum())
         for i in range(LEVELS):
-            for d, rows, values in self.segments(i):
-                total[rows] += values[:, None] * columns[d][None, :]
-            if i == LEVELS - 1:
-                row, query = np.nonzero(total >= need[None, :])
-                return query, row, total[row, query]
-            if i < 2:
+            at = self.level == i
+            for d in np.flatnonzero(at.any(axis=0)):  # a segment: the postings of a dimension on this level
+                rows = np.flatnonzero(at[:, d])
+                total[rows] += self.v[rows, d][:, None] * columns[d][None, :]
+            self.seen += int(counts[i]) * len(queries)
+            left -= int(counts[i])
+            if not left:
+                break
+            if left > every / 2 or not counts[i]:
                 continue
-            gain = np.minimum(self.rest[i][:, None] * norm[None, :], self.bounds[i + 1] * mass[None, :]) * (1 + 1e-9) + 1
+            rest = np.sqrt(np.where(self.level > i, self.square, 0).sum(axis=1))
+            gain = np.minimum(rest[:, None] * norm[None, :], self.bounds[i + 1] * mass[None, :]) * (1 + 1e-9) + 1
             open_ = total + gain >= need[None, :]
-            if open_.mean() <= RESCORE:
+            if open_.mean() * RESCORE <= left / every:
                 row, query = np.nonzero(open_)
+                self.seen += len(row) * (every // max(1, len(self.ids)))
                 score = np.einsum("ij,ij->i", self.v[row], queries[query])
                 hit = score >= need[query]
                 return query[hit], row[hit], score[hit]
-        raise AssertionError("unreachable")
+        row, query = np.nonzero(total >= need[None, :])
+        return query, row, total[row, query]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def blocks(width: int) -> Iterator[pa.RecordBatch]:
+        ids, v = (np.concatenate(x) for x in zip(*held.pop(width), strict=True))
+        order = np.argsort(-(v.astype(float) ** 2).sum(axis=1), kind="stable")
+        for at in range(0, len(order), ROWS):
+            some = order[at : at + ROWS]
+            yield pa.RecordBatch.from_pylist([Block.packed(ids[some], v[some])], schema=_INDEX_SCHEMA)
+
+    for batch in batches:
+        lists = batch.column(1)
+        starts, size = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
+        flat, ids = lists.values.to_numpy(), batch.column(0).to_numpy()
+        for width in np.unique(size).tolist():
+            rows = np.flatnonzero(size == width)
+            held.setdefault(width, []).append((ids[rows], flat[starts[rows][:, None] + np.arange(width)]))
+            if sum(len(x[0]) for x in held[width]) >= SORTED:
+                yield from blocks(width)
+    for width in list(held):
+        yield from blocks(width)
+
+
+_INDEX_SCHEMA = pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("v", pa.binary()), ("level", pa.binary()), ("top", pa.float64()), ("norm", pa.float64())])
+
+
+def index_of(vectors: DataFrame) -> DataFrame:
+    """The blocks of vectors (vec_id, v), a row each."""
+    return vectors.mapInArrow(_index, _INDEX)
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,25 +168,21 @@ def _search(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.Reco
     need = need.copy()
     found = [np.zeros(0, dtype=np.int64)] * 3
     for batch in batches:
-        lists = batch.column(1)
-        size = np.diff(lists.offsets.to_numpy())
-        flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
-        ids = batch.column(0).to_numpy()
-        for width, (places, matrix) in groups.items():
-            rows = np.flatnonzero(size == width)
-            for at in range(0, len(rows), ROWS):
-                some = rows[at : at + ROWS]
-                block = Block(ids[some], flat[starts[some][:, None] + np.arange(width)])
-                for a in range(0, len(places), QUERY_BLOCK):
-                    part = places[a : a + QUERY_BLOCK]
-                    q, row, score = block.members(matrix[a : a + QUERY_BLOCK], need[part])
-                    q, row = part[q], block.ids[row]
-                    other = query_ids[q] != row
-                    found = [np.concatenate(x) for x in zip(found, (q[other], row[other], score[other]), strict=True)]
-                q, row, score, rank = _best(*found, k)
-                found = [q, row, score]
-                full = rank == k - 1
-                need[q[full]] = np.maximum(need[q[full]], score[full])
+        for packed in batch.to_pylist():
+            if packed["width"] not in groups:
+                continue
+            places, matrix = groups[packed["width"]]
+            block = Block.unpacked(packed)
+            for a in range(0, len(places), QUERY_BLOCK):
+                part = places[a : a + QUERY_BLOCK]
+                q, row, score = block.members(matrix[a : a + QUERY_BLOCK], need[part])
+                q, row = part[q], block.ids[row]
+                other = query_ids[q] != row
+                found = [np.concatenate(x) for x in zip(found, (q[other], row[other], score[other]), strict=True)]
+            q, row, score, rank = _best(*found, k)
+            found = [q, row, score]
+            full = rank == k - 1
+            need[q[full]] = np.maximum(need[q[full]], score[full])
     q, row, score = found
     yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(row), pa.array(score)], ["query_id", "vec_id", "score"])
 
@@ -139,8 +200,8 @@ def _needed(places: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, nee
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of vectors for each row of queries (both vec_id, v).
 
-    Inner products of integers, which must fit 64 bits; ties go to the smaller
-    vec_id. Rows with a query's own vec_id are no candidates for it; of repeated
+    Inner products of integers; where norms are so large that one might not fit
+    64 bits, OverflowError is raised. Ties go to the smaller vec_id. Rows with a query's own vec_id are no candidates for it; of repeated
     query ids the least vector is searched for, repeated candidate rows all
     count. Only vectors of the query's length are candidates. Fewer candidates
     give fewer rows, no queries or vectors none.
@@ -154,6 +215,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: i
     first: dict[int, list] = {}  # by length
     for r in vectors.limit(PEERS).collect():
         first.setdefault(len(r.v), []).append(r)
+    index = scratch.write(index_of(vectors), "index")
     for i in range(passes):
         some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).collect()  # about query_bytes
         ids = np.array([r.vec_id for r in some], dtype=np.int64)
@@ -166,7 +228,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: i
             peers = first.get(w, [])
             _needed(places, ids, matrix, k, need, np.array([r.vec_id for r in peers], dtype=np.int64), np.array([r.v for r in peers], dtype=np.int64).reshape(len(peers), w))
         held = spark.sparkContext.broadcast((ids, groups, need))
-        found = vectors.mapInArrow(partial(_search, held=held, k=k), "query_id long, vec_id long, score long")
+        found = index.mapInArrow(partial(_search, held=held, k=k), "query_id long, vec_id long, score long")
         if passes > 1:
             found = scratch.write(found, f"found{i}")
             held.destroy()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import jaccard
+from tessera.llm import jaccard, topk
 from tessera.llm.jaccard import OP5_SQL, Bands, one_of_each_group, similar_groups
 from tessera.llm.mixing import OP10_SQL, before_in_order, mix_plan, op10, mixed, source_targets
 from tessera.llm.topk import OP9_SQL, op9, top_k, vectors_of
@@ -247,6 +247,33 @@ def test_top_k_of_queries_that_are_no_candidates(spark):
     assert got == want
 
 
+def test_products_that_do_not_fit_are_refused(spark):
+    kind = "vec_id long, v array<long>"
+    for big in (3 * 10**17, 2**31):
+        rows = [(i, [big, -big + i]) for i in range(5)]
+        with pytest.raises(Exception, match="64 bits"):
+            top_k(spark.createDataFrame(rows, kind), spark.createDataFrame(rows[:1], kind)).collect()
+    rows = [(i, [2**30 - i, -(2**30)]) for i in range(30)]
+    got = top_k(spark.createDataFrame(rows, kind), spark.createDataFrame(rows[:1], kind), k=2).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 2**30 * (2**30 - i) + 2**60) for i in (1, 2)]
+
+
+def test_blocks_are_kept_whole_and_processing_stops_on_proof(spark):
+    """The vectors of sf0.1: packed and unpacked alike, members as by all products, less than 0.9 of the postings."""
+    rows = vectors_of(table(spark, "/root/testdata/sf0.1", "embeddings")).orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    queries = v[ids % 100 == 0]
+    score = v @ queries.T
+    need = np.partition(score, -11, axis=0)[-11]  # the eleventh: a query meets itself
+    one, two = topk.Block(ids, v), topk.Block.unpacked(topk.Block.packed(ids, v))
+    assert (one.level == two.level).all() and (one.v == two.v).all() and (one.ids == two.ids).all() and one.bounds == two.bounds
+    q, row, got = two.members(queries, need)
+    assert set(zip(row.tolist(), q.tolist(), got.tolist(), strict=True)) == {(r, c, int(score[r, c])) for r, c in zip(*np.nonzero(score >= need), strict=True)}
+    assert 0 < two.seen < 0.9 * two.all
+    small = topk.Block(ids, v // 8)
+    assert len(small.members(queries, need)[0]) == 0 and small.seen == 0  # passed over by its norm
+
+
 @pytest.mark.parametrize("name, sql, query", [("embeddings", OP9_SQL, op9), ("documents", OP10_SQL, op10), ("documents", OP5_SQL, jaccard.op5)])
 def test_sql(spark, name, sql, query):
     path = "/root/testdata/sf0.001"
