@@ -128,9 +128,12 @@ def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], ["doc_id", "n_shingles", "h1", "h2", "own_keys", "prev_keys"])
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
-    """Sets and sketches."""
+def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
+    """Sets and sketches of all rows, or with a filter of those whose place, the third column, has its bit set."""
     for batch in batches:
+        if wanted is not None:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
         for first, sizes, h in _sets(batch.column(1), k):
             n = len(sizes)
             band = bands.of(np.maximum(sizes, 1))
@@ -142,22 +145,15 @@ def _set_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), _lists(np.concatenate(([0], np.cumsum(sizes))), h), *columns], ["doc_id", "n_shingles", "shingles", "own", "prev"])
 
 
-def _passing(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """Rows whose place, the third column, has its bit set."""
-    for batch in batches:
-        at = batch.column(2).to_numpy()
-        yield batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).select([0, 1])
-
-
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is in ids (rep), and a few more where a bitmap of the ids is small enough to go out.
+def _sets_of(texts: DataFrame, ids: DataFrame, bands: Bands, k: int) -> DataFrame:
+    """Sets and sketches of the texts whose doc_id is in ids (rep), and of a few more where a bitmap of the ids is small enough to go out.
 
     The bitmap has BITS_EACH bits an id and FILTER_BITS at most; more ids than
     that allows are met by a join instead.
     """
     n = ids.count()
     if n * BITS_EACH > FILTER_BITS:
-        return texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+        return texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(partial(_set_batches, wanted=None, bands=bands, k=k), _SETS)
     size = max(PAGE, 1 << (max(1, n * BITS_EACH) - 1).bit_length())
     place = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
     at = ids.select((place("rep") + 1).alias("at"))  # Spark's buckets and positions start from 1
@@ -166,7 +162,7 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
         bits[r.page - 1] = np.frombuffer(r.bits, dtype=np.uint8)
     wanted = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
     placed = texts.filter("doc_id IS NOT NULL").withColumn("place", place("doc_id"))
-    return placed.mapInArrow(partial(_passing, wanted=wanted), texts.schema)
+    return placed.mapInArrow(partial(_set_batches, wanted=wanted, bands=bands, k=k), _SETS)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +341,7 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
 
     # Sets of the representatives in such buckets.
     reps = scratch.write(members.select("rep").distinct(), "reps")
-    sets = _texts_of(texts, reps).mapInArrow(partial(_set_batches, bands=bands, k=k), _SETS)
+    sets = _sets_of(texts, reps, bands, k)
     sets = scratch.write(sets.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
     # Round 1: each member with its bucket's most central member.
