@@ -12,10 +12,10 @@ that have two such segments: for all others a filled one is untouched too.
 
 Equal sets are one class from the start. Candidates first meet the most central
 member of each bucket; buckets whose members are then still in several
-components are compared fully by Hamming distance. A linked pair shares a second
-segment, so a bucket above one block is dealt by its members' second segments
-first, and only what then still exceeds a block is compared block by block.
-Every pair that survives is verified on the sets. Nothing is capped, so no
+components are compared by Hamming distance, in blocks, but for pairs within the
+component that most members are in. A linked pair shares a second segment, so a
+bucket with many members outside that component is dealt by its members' second
+segments first. Every pair that survives is verified on the sets. Nothing is capped, so no
 component is torn. Then the links inside each component are counted, by
 comparing the sets of all its members in blocks.
 """
@@ -36,6 +36,7 @@ from tessera.session import Scratch
 
 BLOCK = 1024  # sets that are compared with each other in one task at a time
 BLOCK_SHINGLES = 1 << 20
+SECOND = 8  # blocks of members outside its largest component from which a bucket is dealt by second segments
 FILTER_BITS = 1 << 29  # at most, of the broadcast filter of representatives: 64 MB
 BITS_EACH = 16
 PAGE = 1 << 15  # bits of one of Spark's bitmaps
@@ -279,7 +280,7 @@ def _link_counts(roots: DataFrame, sets: DataFrame, scratch: Scratch, num: int,
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     nodes = scratch.write(nodes.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "nodes")
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
-    sizes = scratch.write(sizes.select("root", "c", _blocks(F.col("c"), F.col("s"))), "sizes")
+    sizes = scratch.write(sizes.select("root", "c", _blocks(F.col("c"), F.col("s")).alias("g")), "sizes")
     large = nodes.join(sizes.filter("c > 2"), "root").select(F.col("root").alias("key"), F.col("node").alias("rep"), "g")
     large = _in_blocks(large, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     large = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -296,13 +297,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _blocks(count, shingles):
     """Number of blocks of at most about BLOCK sets and BLOCK_SHINGLES shingles."""
-    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int").alias("g")
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def _open(rows: DataFrame, key: str) -> DataFrame:
-    """(key, g) of the buckets with several labels, g: number of blocks."""
-    met = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
-    return met.filter("lo <> hi").select(key, _blocks(F.col("c"), F.col("s")))
+def _open(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of the buckets with several labels, each with its bucket's plan.
+
+    top: the label with most members; g and h: numbers of blocks of the others
+    and of its own members; one: whether all are one block. Members of top need
+    no comparison with each other.
+    """
+    met = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    rows = scratch.write(rows.join(met, "key", "left_semi"), name)
+    labels = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    plan = labels.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    plan = plan.select("key", F.col("top.label").alias("top"), _blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("g"), _blocks(F.col("top.c"), F.col("top.s")).alias("h"), (_blocks(F.col("c"), F.col("s")) == 1).alias("one"))
+    return rows.join(plan, "key")
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """rows of _open with block, i and j: blocks 0 to g - 1 hold the other labels, g to g + h - 1 the label top.
+
+    Each block of others meets every block, so while those are one block a
+    bucket's copies are in proportion to its members.
+    """
+    top, of = F.col("label") == F.col("top"), lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    block = F.when(F.col("one"), 0).when(top, F.col("g") + of("h")).otherwise(of("g")).cast("int")
+    last = F.when(F.col("one"), 0).when(top, F.col("g") - 1).otherwise(F.col("g") + F.col("h") - 1)
+    rows = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "g", "h", "top", "one")
 
 
 def _in_blocks(rows: DataFrame, node: str) -> DataFrame:
@@ -354,14 +377,13 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
 
     # Round 2: all pairs of different components in the buckets that still hold several.
     named = members.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-    named = scratch.write(named.join(_open(named, "key").select("key", "g"), "key"), "open")
-    # A bucket of several blocks is dealt by second segments; of two such segments the smaller key goes first.
-    large = named.filter("g > 1")
+    named = _open(named, scratch, "open")
+    # Where many members are outside the largest component, a row for each second segment is less than a sketch for each
+    # block; of two segments that are both dealt so the smaller key goes first.
+    large = scratch.write(named.filter(F.col("g") > SECOND).select("key", "own", "rep", "n_shingles", "label"), "large")
     second = members.select("rep", "own", F.col("key").alias("other")).join(large.select(F.col("key").alias("other")).distinct().withColumn("also", F.lit(True)), "other", "left")
-    dealt = large.drop("g").join(second, ["rep", "own"]).filter("other > key OR (other < key AND also IS NULL)").withColumn("key", F.xxhash64("key", "other")).drop("other", "also")
-    dealt = scratch.write(dealt, "dealt")
-    rest = named.filter("g = 1").unionByName(dealt.join(_open(dealt, "key").select("key", "g"), "key"))
-    rest = _in_blocks(rest, "rep")
+    dealt = large.join(second, ["rep", "own"]).filter("other > key OR (other < key AND also IS NULL)").withColumn("key", F.xxhash64("key", "other")).drop("other", "also")
+    rest = _in_cells(named.filter(F.col("g") <= SECOND).unionByName(_open(dealt, scratch, "dealt")))
     sketches = sets.select(F.col("doc_id").alias("rep"), "own", "prev").withColumnRenamed("own", "own_sketch")
     rest = rest.join(sketches, "rep").select("key", "i", "j", "block", "rep", "label", "n_shingles", F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("prev")).alias("sketch"))
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -9,7 +9,6 @@ smaller than the next by a margin, the text is marked as rejected.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,14 +34,17 @@ LEVEL = 9
 MARGIN = 0.002
 UNKNOWN = "und"
 
-# What \w holds besides letters and decimal digits: numerals such as fractions and superscripts.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+# Python's isalpha is true of the categories L. One set of characters below U+10000 without classes is quick to search.
+_OTHER = re.compile("[" + "".join(re.escape(c) for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if not c.isalpha()) + "]+")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
 
 
 def letters(text: str) -> str:
     """Lower-cased runs of letters (Unicode categories L), one blank between."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if len(text.encode("utf-16-le")) > 2 * len(text):
+        text = _HIGH.sub(lambda m: m[0] if m[0].isalpha() else " ", text)
+    return _OTHER.sub(" ", text).strip()
 
 
 def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:

@@ -110,9 +110,10 @@ def test_cells_of_one_row_and_of_sketches_of_two_lengths():
         assert got == ([{"a": 1, "b": 0}, {"a": 3, "b": 2}] if len(some) > 1 else [])
 
 
-@pytest.mark.parametrize("name, value", [("BLOCK", 4), ("FILTER_BITS", 8)])
-def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, name, value):
-    """Texts of one template, most of them too far apart to link: buckets exceed a block and are dealt by second segments."""
+@pytest.mark.parametrize("second", [2, 1000])
+def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, second):
+    """Texts of one template, most of them too far apart to link: buckets exceed a block and are dealt by second segments,
+    or are compared block by block; sets are met by a join, not by a filter."""
     random.seed(8)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -121,7 +122,8 @@ def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, name, value
         for at in random.sample(range(60), random.choice([1, 4, 5, 6])):
             some[at] = f"v{random.randrange(10**6)}"
         rows.append((i, " ".join(some)))
-    monkeypatch.setattr(jaccard, name, value)
+    for name, value in {"BLOCK": 4, "SECOND": second, "FILTER_BITS": 8}.items():
+        monkeypatch.setattr(jaccard, name, value)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == groups_of(rows) and len({x[2] for x in got}) > 100
 
