@@ -7,15 +7,14 @@ symmetric difference. Sets of one size band that reach the similarity differ in
 at most d shingles; with m = d + 2 segments at least two segments are untouched
 and equal (pigeonhole), and documents that share a segment are candidates. A
 segment's key also carries the XOR of its shingle hashes, which keeps segments
-of few shingles apart. A segment without shingles is a key only of documents
-that have two such segments: for all others a filled one is untouched too.
+of few shingles apart. Segments without shingles say little: two of them together
+are a key, and only of documents with so many that all their filled ones can be
+touched.
 
 Equal sets are one class from the start. Candidates first meet the most central
 member of each bucket; buckets whose members are then still in several
 components are compared by Hamming distance, in blocks, but for pairs within the
-component that most members are in. A linked pair shares a second segment, so a
-bucket with many members outside that component is dealt by its members' second
-segments first. Every pair that survives is verified on the sets. Nothing is capped, so no
+component that most members are in. Every pair that survives is verified on the sets. Nothing is capped, so no
 component is torn. Then the links inside each component are counted, by
 comparing the sets of all its members in blocks.
 """
@@ -36,7 +35,6 @@ from tessera.session import Scratch
 
 BLOCK = 1024  # sets that are compared with each other in one task at a time
 BLOCK_SHINGLES = 1 << 20
-SECOND = 8  # blocks of members outside its largest component from which a bucket is dealt by second segments
 FILTER_BITS = 1 << 29  # at most, of the broadcast filter of representatives: 64 MB
 BITS_EACH = 16
 PAGE = 1 << 15  # bits of one of Spark's bitmaps
@@ -99,15 +97,23 @@ def _sketch(sizes: np.ndarray, h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray
     return offsets, parity, xor
 
 
-def _segment_keys(offsets: np.ndarray, parity: np.ndarray, xor: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_keys(offsets: np.ndarray, parity: np.ndarray, xor: np.ndarray, band: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, keys) of documents whose linked partners differ in at most most[i] shingles."""
     m = np.diff(offsets)
     doc = np.repeat(np.arange(len(m)), m)
     place = (np.arange(offsets[-1]) - offsets[:-1][doc]).astype(np.uint64)
     empty = (parity == 0) & (xor == 0)
-    two = np.bincount(doc[empty], minlength=len(m)) >= 2
-    keep = ~empty | two[doc]
-    key = mix(mix(mix(xor) + parity) + mix(place * np.uint64(2654435761) + band[doc].astype(np.uint64) + np.uint64(1)))
-    return np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(m))))), key[keep]
+    of = lambda content, where, doc: mix(mix(content) + mix(where * np.uint64(2654435761) + band[doc].astype(np.uint64) + np.uint64(1)))
+    key, owner = [of(mix(xor) + parity, place, doc)[~empty]], [doc[~empty]]
+    # With fewer empty segments some filled one is untouched. Otherwise two empty ones may be all that is untouched.
+    count = np.bincount(doc[empty], minlength=len(m))
+    for i in np.flatnonzero((count >= np.maximum(m - most, 2)) & (m > 0)):
+        at = place[offsets[i] : offsets[i + 1]][empty[offsets[i] : offsets[i + 1]]]
+        first, second = np.triu_indices(len(at), 1)
+        owner.append(np.full(len(first), i))
+        key.append(of(at[first] + np.uint64(1), at[second], owner[-1]))
+    owner, key = np.concatenate(owner), np.concatenate(key)
+    return np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(m))))), key[np.argsort(owner, kind="stable")]
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +131,8 @@ def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             for shift in (0, 1):
                 level = np.maximum(band - shift, 0)
                 m = np.where((sizes > 0) & (band >= shift), bands.segments[level], 0)
-                columns.append(_lists(*_segment_keys(*_sketch(sizes, h, m), level)))
+                most = bands.most_apart(sizes, bands.lo[level + 1] - 1) if shift else sizes * (bands.den - bands.num) // bands.num
+                columns.append(_lists(*_segment_keys(*_sketch(sizes, h, m), level, most)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], ["doc_id", "n_shingles", "h1", "h2", "own_keys", "prev_keys"])
 
 
@@ -377,13 +384,7 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
 
     # Round 2: all pairs of different components in the buckets that still hold several.
     named = members.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-    named = _open(named, scratch, "open")
-    # Where many members are outside the largest component, a row for each second segment is less than a sketch for each
-    # block; of two segments that are both dealt so the smaller key goes first.
-    large = scratch.write(named.filter(F.col("g") > SECOND).select("key", "own", "rep", "n_shingles", "label"), "large")
-    second = members.select("rep", "own", F.col("key").alias("other")).join(large.select(F.col("key").alias("other")).distinct().withColumn("also", F.lit(True)), "other", "left")
-    dealt = large.join(second, ["rep", "own"]).filter("other > key OR (other < key AND also IS NULL)").withColumn("key", F.xxhash64("key", "other")).drop("other", "also")
-    rest = _in_cells(named.filter(F.col("g") <= SECOND).unionByName(_open(dealt, scratch, "dealt")))
+    rest = _in_cells(_open(named, scratch, "open"))
     sketches = sets.select(F.col("doc_id").alias("rep"), "own", "prev").withColumnRenamed("own", "own_sketch")
     rest = rest.join(sketches, "rep").select("key", "i", "j", "block", "rep", "label", "n_shingles", F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("prev")).alias("sketch"))
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

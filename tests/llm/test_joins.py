@@ -84,6 +84,32 @@ def test_two_documents_in_one_task_that_share_a_segment(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_groups(docs).collect()) == [(1, 38, 1), (2, 38, 2)]
 
 
+@pytest.mark.parametrize("k, num, den", [(3, 9, 10), (5, 4, 5)])
+def test_linked_pairs_share_a_key(k, num, den):
+    """Pairs at the edge of the similarity, of all sizes, also such whose filled segments are all touched."""
+    rng = np.random.default_rng(9)
+    bands, tried = Bands(num, den), 0
+    for _ in range(3000):
+        n = int(rng.choice([*range(1, 70), 120, 400]))
+        one = rng.integers(0, 2**63, n).astype(np.uint64)
+        out = int(rng.integers(0, n // 5 + 1))
+        new = int(rng.integers(0, n // 3 + 2))
+        two = np.concatenate([one[out:], rng.integers(0, 2**63, new).astype(np.uint64)])
+        if not len(two) or den * (n - out) < num * (n + new):
+            continue
+        tried += 1
+        keys = []
+        for h in (np.sort(one), np.sort(two)):
+            size, both = np.array([len(h)]), set()
+            for shift in (0, 1):
+                if (band := bands.of(size) - shift)[0] >= 0:
+                    most = bands.most_apart(size, bands.lo[band + 1] - 1) if shift else size * (den - num) // num
+                    both |= set(jaccard._segment_keys(*jaccard._sketch(size, h, bands.segments[band]), band, most)[1].tolist())
+            keys.append(both)
+        assert keys[0] & keys[1] or set(one.tolist()) == set(two.tolist())
+    assert tried > 300
+
+
 def test_cells_are_whole_however_the_batches_cut_them():
     """Each cell once and whole: one cell, a cell over several batches, and a last batch that only continues one."""
     for keys in ([7], [7] * 9, [1, 1, 2, 3, 3, 3, 3, 3], [1, 2, 3], []):
@@ -110,10 +136,8 @@ def test_cells_of_one_row_and_of_sketches_of_two_lengths():
         assert got == ([{"a": 1, "b": 0}, {"a": 3, "b": 2}] if len(some) > 1 else [])
 
 
-@pytest.mark.parametrize("second", [2, 1000])
-def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, second):
-    """Texts of one template, most of them too far apart to link: buckets exceed a block and are dealt by second segments,
-    or are compared block by block; sets are met by a join, not by a filter."""
+def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch):
+    """Texts of one template, most of them too far apart to link: buckets exceed a block. Sets are met by a join, not by a filter."""
     random.seed(8)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -122,7 +146,7 @@ def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch, second):
         for at in random.sample(range(60), random.choice([1, 4, 5, 6])):
             some[at] = f"v{random.randrange(10**6)}"
         rows.append((i, " ".join(some)))
-    for name, value in {"BLOCK": 4, "SECOND": second, "FILTER_BITS": 8}.items():
+    for name, value in {"BLOCK": 4, "FILTER_BITS": 8}.items():
         monkeypatch.setattr(jaccard, name, value)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == groups_of(rows) and len({x[2] for x in got}) > 100
