@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -62,8 +63,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return it as read back, with its lineage cut."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        """Write df once and return it as read back, with its lineage cut; the shuffles behind it leave the disks at once."""
+        held = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(_CLEANUP) if held is None else self.spark.conf.set(_CLEANUP, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
