@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -136,12 +136,46 @@ def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], ["doc_id", "n_shingles", "h1", "h2", "own_keys", "prev_keys"])
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
-    """Sets and sketches of all rows, or with a filter of those whose place, the third column, has its bit set."""
+class Bitmap:
+    """A broadcast set of places, BITS_EACH bits for each that is in it; None from `of` where it would exceed FILTER_BITS."""
+
+    def __init__(self, size: int, places: DataFrame):
+        bits = np.zeros((size // PAGE, PAGE // 8), dtype=np.uint8)
+        at = places.select((F.col("place") + 1).alias("at"))  # Spark's buckets and positions start from 1
+        for r in at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
+            bits[r.page - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+        self.size, self.held = size, places.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    @staticmethod
+    def of(rows: DataFrame, hashed: Column) -> Bitmap | None:
+        n = rows.count()
+        if n * BITS_EACH > FILTER_BITS:
+            return None
+        size = max(PAGE, 1 << (max(1, n * BITS_EACH) - 1).bit_length())
+        return Bitmap(size, rows.select(F.pmod(hashed, F.lit(size)).alias("place")))
+
+    def has(self, hashed: np.ndarray) -> np.ndarray:
+        at = hashed & (self.size - 1)
+        return ((self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _met(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
+    """(h1, key, own) of the keys that may be wanted."""
+    for batch in batches:
+        for own in (True, False):
+            lists = batch.column("own_keys" if own else "prev_keys")
+            key, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            if wanted is not None:
+                hit = wanted.has(key)
+                key, row = key[hit], row[hit]
+            yield pa.RecordBatch.from_arrays([batch.column("h1").take(pa.array(row)), pa.array(key), pa.array(np.full(len(key), own))], ["h1", "key", "own"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None, bands: Bands, k: int) -> Iterator[pa.RecordBatch]:
+    """Sets and sketches of all rows, or of those whose hashed id, the third column, is wanted and of a few more."""
     for batch in batches:
         if wanted is not None:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(wanted.has(batch.column(2).to_numpy())))
         for first, sizes, h in _sets(batch.column(1), k):
             n = len(sizes)
             band = bands.of(np.maximum(sizes, 1))
@@ -154,23 +188,12 @@ def _set_batches(batches: Iterator[pa.RecordBatch], wanted, bands: Bands, k: int
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, bands: Bands, k: int) -> DataFrame:
-    """Sets and sketches of the texts whose doc_id is in ids (rep), and of a few more where a bitmap of the ids is small enough to go out.
-
-    The bitmap has BITS_EACH bits an id and FILTER_BITS at most; more ids than
-    that allows are met by a join instead.
-    """
-    n = ids.count()
-    if n * BITS_EACH > FILTER_BITS:
-        return texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(partial(_set_batches, wanted=None, bands=bands, k=k), _SETS)
-    size = max(PAGE, 1 << (max(1, n * BITS_EACH) - 1).bit_length())
-    place = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
-    at = ids.select((place("rep") + 1).alias("at"))  # Spark's buckets and positions start from 1
-    bits = np.zeros((size // PAGE, PAGE // 8), dtype=np.uint8)
-    for r in at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
-        bits[r.page - 1] = np.frombuffer(r.bits, dtype=np.uint8)
-    wanted = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-    placed = texts.filter("doc_id IS NOT NULL").withColumn("place", place("doc_id"))
-    return placed.mapInArrow(partial(_set_batches, wanted=wanted, bands=bands, k=k), _SETS)
+    """Sets and sketches of the texts whose doc_id is in ids (rep), and of a few more where a bitmap of the ids goes out; else by a join."""
+    wanted = Bitmap.of(ids, F.xxhash64("rep"))
+    texts = texts.filter("doc_id IS NOT NULL").withColumn("hash", F.xxhash64("doc_id"))
+    if wanted is None:
+        texts = texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    return texts.mapInArrow(partial(_set_batches, wanted=wanted, bands=bands, k=k), _SETS)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +385,11 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     rows = scratch.write(texts.mapInArrow(partial(_key_batches, bands=bands, k=k), _KEYS), "keys")
 
     # Buckets with two different sets or more; equal sets meet in the map-side minimum and maximum.
-    exploded = rows.select("h1", F.explode(F.concat(F.transform("own_keys", lambda x: F.struct(x.alias("key"), F.lit(True).alias("own"))), F.transform("prev_keys", lambda x: F.struct(x.alias("key"), F.lit(False).alias("own"))))).alias("at")).select("h1", "at.key", "at.own")
+    exploded = rows.select("h1", F.explode(F.concat("own_keys", "prev_keys")).alias("key"))
     mixed = exploded.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
     mixed = scratch.write(mixed, "mixed")
-    met = scratch.write(exploded.join(mixed, "key", "left_semi").distinct(), "met")
+    met = rows.select("h1", "own_keys", "prev_keys").mapInArrow(partial(_met, wanted=Bitmap.of(mixed, F.col("key"))), "h1 long, key long, own boolean")
+    met = scratch.write(met.join(mixed, "key", "left_semi").distinct(), "met")
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.write(met.join(classes.filter("rep IS NOT NULL"), "h1").select("key", "own", "rep", "n_shingles"), "members")
 
