@@ -390,13 +390,19 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     mixed = scratch.write(mixed, "mixed")
     met = rows.select("h1", "own_keys", "prev_keys").mapInArrow(partial(_met, wanted=Bitmap.of(mixed, F.col("key"))), "h1 long, key long, own boolean")
     met = scratch.write(met.join(mixed, "key", "left_semi").distinct(), "met")
+    rows = scratch.write(rows.drop("own_keys", "prev_keys"), "rows")
+    scratch.drop("keys")
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.write(met.join(classes.filter("rep IS NOT NULL"), "h1").select("key", "own", "rep", "n_shingles"), "members")
+    scratch.drop("met")
 
     # Sets of the representatives in such buckets.
     reps = scratch.write(members.select("rep").distinct(), "reps")
+    # A few texts more than asked for do no harm; only a doc_id that repeats must not have two sets.
     sets = _sets_of(texts, reps, bands, k)
-    sets = scratch.write(sets.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    if not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        sets = sets.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = scratch.write(sets, "sets")
 
     # Round 1: each member with its bucket's most central member.
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
