@@ -64,6 +64,16 @@ class Bands:
         return total - 2 * -(-(self.num * total) // (self.num + self.den))
 
 
+    def partner_apart(self, sizes: np.ndarray, level: np.ndarray, larger: bool) -> np.ndarray:
+        """Bound of the symmetric difference with any linked partner on this level; larger: the sets are of the band above it.
+
+        The difference is at most (den - num) / num of the smaller set and (den - num) / (den + num) of both sizes together.
+        """
+        if larger:
+            return (sizes + self.lo[level + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+        return sizes * (self.den - self.num) // self.num
+
+
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -131,7 +141,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], bands: Bands, k: int) -> Ite
             for shift in (0, 1):
                 level = np.maximum(band - shift, 0)
                 m = np.where((sizes > 0) & (band >= shift), bands.segments[level], 0)
-                most = bands.most_apart(sizes, bands.lo[level + 1] - 1) if shift else sizes * (bands.den - bands.num) // bands.num
+                most = bands.partner_apart(sizes, level, bool(shift))
                 columns.append(_lists(*_segment_keys(*_sketch(sizes, h, m), level, most)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], ["doc_id", "n_shingles", "h1", "h2", "own_keys", "prev_keys"])
 

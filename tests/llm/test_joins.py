@@ -103,7 +103,7 @@ def test_linked_pairs_share_a_key(k, num, den):
             size, both = np.array([len(h)]), set()
             for shift in (0, 1):
                 if (band := bands.of(size) - shift)[0] >= 0:
-                    most = bands.most_apart(size, bands.lo[band + 1] - 1) if shift else size * (den - num) // num
+                    most = bands.partner_apart(size, band, bool(shift))
                     both |= set(jaccard._segment_keys(*jaccard._sketch(size, h, bands.segments[band]), band, most)[1].tolist())
             keys.append(both)
         assert keys[0] & keys[1] or set(one.tolist()) == set(two.tolist())
