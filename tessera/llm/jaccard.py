@@ -63,7 +63,6 @@ class Bands:
         total = a + b
         return total - 2 * -(-(self.num * total) // (self.num + self.den))
 
-
     def partner_apart(self, sizes: np.ndarray, level: np.ndarray, larger: bool) -> np.ndarray:
         """Bound of the symmetric difference with any linked partner on this level; larger: the sets are of the band above it.
 
