@@ -14,7 +14,8 @@ touched.
 Equal sets are one class from the start. Candidates first meet the most central
 member of each bucket; buckets whose members are then still in several
 components are compared by Hamming distance, in blocks, but for pairs within the
-component that most members are in. Every pair that survives is verified on the sets. Nothing is capped, so no
+component that most members are in. Buckets that hold the same sets are compared
+once, and by sketches of one word for SEGMENTS_A_WORD segments. Every pair that survives is verified on the sets. Nothing is capped, so no
 component is torn. Then the links inside each component are counted, by
 comparing the sets of all its members in blocks.
 """
@@ -38,6 +39,7 @@ BLOCK_SHINGLES = 1 << 20
 FILTER_BITS = 1 << 29  # at most, of the broadcast filter of representatives: 64 MB
 BITS_EACH = 16
 PAGE = 1 << 15  # bits of one of Spark's bitmaps
+SEGMENTS_A_WORD = 8  # a sketch for comparison then has some 8 bits for each shingle that a linked pair may differ in
 _KEYS = "doc_id long, n_shingles long, h1 long, h2 long, own_keys array<long>, prev_keys array<long>"
 _SETS = "doc_id long, n_shingles long, shingles array<long>, own array<long>, prev array<long>"
 
@@ -191,7 +193,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None, bands
             columns = []
             for shift in (0, 1):
                 m = np.where((sizes > 0) & (band >= shift), bands.segments[np.maximum(band - shift, 0)], 0)
-                offsets, parity, _ = _sketch(sizes, h, m)
+                offsets, parity, _ = _sketch(sizes, h, -(-m // SEGMENTS_A_WORD))
                 columns.append(_lists(offsets, parity))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sizes), _lists(np.concatenate(([0], np.cumsum(sizes))), h), *columns], ["doc_id", "n_shingles", "shingles", "own", "prev"])
 
@@ -339,6 +341,15 @@ def _blocks(count, shingles):
     return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """The members of one bucket of those that hold the same sets; buckets of one set go.
+
+    The same sets have the same candidates, whichever segment they share.
+    """
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)))
+    return members.join(held.filter("c > 1").groupBy("c", "x0", "x1").agg(F.min("key").alias("key")), "key", "left_semi")
+
+
 def _open(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The rows of the buckets with several labels, each with its bucket's plan.
 
@@ -402,8 +413,10 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
     rows = scratch.write(rows.drop("own_keys", "prev_keys"), "rows")
     scratch.drop("keys")
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    members = scratch.write(met.join(classes.filter("rep IS NOT NULL"), "h1").select("key", "own", "rep", "n_shingles"), "members")
+    members = scratch.write(met.join(classes.filter("rep IS NOT NULL"), "h1").select("key", "own", "rep", "n_shingles"), "all_members")
     scratch.drop("met")
+    members = scratch.write(_once(members), "members")
+    scratch.drop("all_members")
 
     # Sets of the representatives in such buckets.
     reps = scratch.write(members.select("rep").distinct(), "reps")
