@@ -152,6 +152,13 @@ def test_large_buckets_of_texts_that_do_not_link(spark, monkeypatch):
     assert got == groups_of(rows) and len({x[2] for x in got}) > 100
 
 
+def test_buckets_of_the_same_sets_are_kept_once(spark):
+    buckets = {1: [10, 20], 2: [10, 20], 3: [10, 20, 30], 4: [10, 30], 5: [30], 6: [20, 30, 10]}
+    rows = spark.createDataFrame([(k, r) for k, reps in buckets.items() for r in reps], "key long, rep long")
+    assert sorted(map(tuple, jaccard._once(rows).collect())) == [(1, 10), (1, 20), (3, 10), (3, 20), (3, 30), (4, 10), (4, 30)]
+    assert jaccard._once(rows.limit(0)).count() == 0
+
+
 def test_bands_bound_the_difference_of_linked_sets():
     bands = Bands(9, 10)
     for a in (1, 8, 9, 17, 18, 150, 4000):
