@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.mixing import free_name
 from tessera.llm.textvec import mix, slices, windows
 from tessera.session import Scratch
 
@@ -457,16 +458,28 @@ def similar_groups(docs: DataFrame, *, k: int = 3, num: int = 9, den: int = 10,
 def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     """The row of the smallest doc_id of each component, unchanged.
 
-    Of rows that repeat a doc_id one stays; a row without doc_id can't be told
-    from its copies and goes. Texts without words stand alone and stay.
+    Rows without doc_id, and those of a repeated doc_id with another text than
+    the first by hash, are told apart by their texts and come after all others:
+    one of them stays where its component has no other row. Of rows with the
+    same doc_id and text one stays. Texts without words stand alone and stay.
     """
-    groups = similar_groups(docs, count_links=False, **settings)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return docs.join(_gone(docs, **settings), "doc_id", "left_anti").select(*docs.columns)
+    row, first = free_name(docs, "row"), free_name(docs, "first")
+    hashed = F.xxhash64("doc_id", "text")
+    firsts = docs.join(odd, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(hashed).alias(first))
+    # Numbers from 2 ** 62 on: larger than any doc_id that is counted up.
+    other = F.shiftrightunsigned(hashed, 2) + F.lit(1 << 62)
+    named = docs.join(firsts, "doc_id", "left")
+    named = named.withColumn(row, F.when(F.col("doc_id").isNull() | (F.col(first) != hashed), other).otherwise(F.col("doc_id").cast("long")))
+    gone = _gone(named.select(F.col(row).alias("doc_id"), "text"), **settings).withColumnRenamed("doc_id", row)
+    return named.join(gone, row, "left_anti").dropDuplicates([row]).select(*docs.columns)
+
+
+def _gone(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id of the rows that are not the smallest of their component."""
+    return similar_groups(docs, count_links=False, **settings).filter("doc_id <> component_id").select("doc_id").distinct()
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

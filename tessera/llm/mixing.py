@@ -75,11 +75,20 @@ def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int,
     in some order. An empty table gives no rows. Null doc_ids have one key. The
     result depends on the rows only, never on their order or partitioning.
     """
+    return _plan(docs, size, weights, share, most, range_rows).drop("key")
+
+
+def _key() -> Column:
+    """The hash-random key of a row, of its id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
+def _plan(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows of mix_plan with their keys."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = n_words(F.col("text").cast("string")) if size is None else size
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key"))
+    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), _key().alias("key"))
     rows = scratch.write(rows, "sized")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     totals = scratch.write(totals, "totals")
@@ -100,7 +109,7 @@ def mix_plan(docs: DataFrame, *, size: Column | None = None, weights: tuple[int,
     epochs = F.when(F.col("source_size") > 0, F.floor(due / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("rest", due - F.col("epochs") * F.col("source_size") - F.col("base") - F.col("inside"))
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least("rest", "size")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part")
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part", "key")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
@@ -108,13 +117,15 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
     A document taken in part is cut to its first words, joined by blanks, and
     n_chars, if there, follows. Rows of size 0 are not taken. Rows are met with
-    the plan by doc_id: those without one go, and repeated ids are taken alike,
-    as the one of them that the plan takes most of.
+    the plan by source and key, so rows without doc_id and different texts of
+    one doc_id are taken as planned; rows alike in source, doc_id and text are
+    each taken as the one of them that the plan takes most of.
     """
-    epochs, part, size, copy = (_free(docs, x) for x in ("epochs", "part", "size", "copy"))
-    plan = mix_plan(docs, **settings).filter("taken > 0").groupBy("doc_id").agg(F.max("epochs").alias(epochs), F.max("part").alias(part), F.max("size").alias(size))
+    epochs, part, size, copy, key, same, of = (free_name(docs, x) for x in ("epochs", "part", "size", "copy", "key", "same", "of"))
+    plan = _plan(docs, **settings).filter("taken > 0").groupBy(F.col("key").alias(same), F.col("source").alias(of)).agg(F.max("epochs").alias(epochs), F.max("part").alias(part), F.max("size").alias(size))
     copies = F.col(epochs) + F.when(F.col(part) > 0, 1).otherwise(0)
-    rows = docs.join(plan, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    met = docs.withColumn(key, _key()).join(plan, (F.col(key) == F.col(same)) & F.col("source").eqNullSafe(F.col(of)))
+    rows = met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = (F.col(copy) > F.col(epochs)) & (F.col(part) < F.col(size))
     words = F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != "")
     rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), " ")).otherwise(F.col("text")))
@@ -123,7 +134,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     return rows.select(*docs.columns)
 
 
-def _free(df: DataFrame, name: str) -> str:
+def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name.lower() in map(str.lower, df.columns):
         name = f"_{name}"

@@ -1,5 +1,6 @@
 """Near duplicates, exact search, mixing and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -7,12 +8,16 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import jaccard, topk
+from tessera.llm import jaccard, langid, topk
+from tessera.llm.classifier import quality_scores
 from tessera.llm.jaccard import OP5_SQL, Bands, one_of_each_group, similar_groups
 from tessera.llm.mixing import OP10_SQL, before_in_order, mix_plan, op10, mixed, source_targets
+from tessera.llm.pieces import public_path
 from tessera.llm.topk import OP9_SQL, op9, top_k, vectors_of
 from tessera.session import Scratch, table
 
@@ -176,7 +181,21 @@ def test_one_of_each_group(odd_docs):
     kept = one_of_each_group(odd_docs)
     assert kept.columns == odd_docs.columns
     wanted = {int(i) for i, _, c in groups_of([(r.doc_id, r.text) for r in odd_docs.collect()]) if i == c and i != "None"}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(wanted)
+    assert [r.text for r in rows if r.doc_id is None] == ["no id"]
+
+
+def test_rows_without_an_id_of_their_own_are_kept(spark):
+    """Null and repeated ids: different texts stay, of copies one, and of a group with an id the row of that id."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, f"{a} tail"), (None, b), (7, c), (7, d), (7, d), (9, b), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, row int, first int").repartition(4)
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got in (sorted([(None, x), (7, c), (7, d), (9, b), (None, None), (3, "")], key=str) for x in (a, f"{a} tail"))
 
 
 def test_every_link_is_counted(spark, odd_docs):
@@ -382,26 +401,76 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert out.columns[:2] == ["doc_id", "text"] and out.count() > 0
 
 
-def test_mixed_rows_hold_the_words_taken(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i + 1)), "abc"[i % 3], 0) for i in range(40)], "doc_id long, text string, source string, n_chars long")
-    taken = {r.doc_id: r.taken for r in mix_plan(docs).collect()}
+def words_by_row(rows):
     got = {}
-    for r in mixed(docs).collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
-    assert got == {k: v for k, v in taken.items() if v}
+    for r in rows:
+        key = (r.doc_id, r.source, r.text.split()[0])
+        got[key] = got.get(key, 0) + len(r.text.split())
+    return got
+
+
+def test_mixed_rows_hold_the_words_taken(spark):
+    """Also where ids are null, repeat, or stand in two sources: the first word of a text tells it from the others."""
+    plain = [(i, " ".join(f"w{i}x{j}" for j in range(i + 1)), "abc"[i % 3], 0) for i in range(40)]
+    odd = [(None if i % 2 else i // 4, " ".join(f"w{i}x{j}" for j in range(i + 1)), [None, "a", "b"][i % 3], 0) for i in range(40)]
+    for rows in (plain, odd):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+        plan, got = mix_plan(docs), words_by_row(mixed(docs).collect())
+        assert sum(got.values()) == sum(r.taken for r in plan.collect())
+        assert sorted((str(i), str(s), n) for (i, s, _), n in got.items()) == sorted((str(r.doc_id), str(r.source), r.taken) for r in plan.collect() if r.taken)
+
+
+def judged_by_hand(docs):
+    """doc_id of the texts that one language's dictionary shortens more than all others', by the margin."""
+    fit = docs.filter("crc32(cast(doc_id AS string)) % 4 <> 2")
+    contents = langid.dictionaries(langid.samples(fit, langid.SAMPLE, Scratch(docs.sparkSession, "test")))
+    coders = [zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for x in contents.values()]
+    kept = []
+    for r in docs.select("doc_id", "text").collect():
+        t = " ".join("".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split())
+        blocks = [f" {t[at : at + langid.BLOCK]} ".encode() for at in range(0, len(t), langid.BLOCK)]
+        sizes = sorted(sum(len(c.compress(x)) for x in blocks) for c in coders)
+        if blocks and sizes[1] - sizes[0] >= langid.MARGIN * sizes[0]:
+            kept.append(r.doc_id)
+    return sorted(kept)
 
 
 def test_pipeline(spark):
+    """The rows that each stage keeps, by plain versions of the stages on its own input; quality by the scores of its operator."""
     path = "/root/testdata/sf0.001"
     docs = table(spark, path, "documents")
-    columns, counts = docs.columns, [docs.count()]
+    columns, left = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, path).cache()
+        given, docs = docs, stage(spark, docs, path).cache()
         assert docs.columns == columns, name
-        counts.append(docs.count())
-    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
+        left[name] = given, docs
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    given, kept = left["language"]
+    assert 0 < kept.count() < given.count() and ids(kept) == judged_by_hand(given)
+    given, kept = left["quality"]
+    scores = quality_scores(given.repartition(5), table(spark, path, "labels"))
+    assert 0 < kept.count() < given.count() and ids(kept) == ids(scores.filter("score >= 0.3"))
+    given, kept = left["near_duplicates"]
+    assert ids(kept) == left_by_brute_force([(r.doc_id, r.text) for r in given.collect()], 5, 4, 5)
+    given, kept = left["mixture"]
+    con = duckdb.connect()
+    con.register("documents", given.select("doc_id", "text", "source").toPandas())
+    want = {i: n for i, n in con.execute(f"SELECT doc_id, taken FROM ({OP10_SQL})").fetchall() if n}
+    taken = {}
+    for r in kept.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(WORD.findall(r.text.encode()))
+    assert taken == want
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    tokens = []
+    for r in kept.collect():
+        found = library.encode(r.text or "", add_special_tokens=False).ids
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(found, dtype="<u4").tobytes(), library.decode(found, skip_special_tokens=False).encode())]
+        tokens.append((r.doc_id, len(found), *digests))
     out = corpus_pipeline.run(spark, path)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == counts[4]
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, out.collect())) == sorted(tokens)
 
 
 def test_stages_take_empty_tables_and_odd_rows(spark, odd_docs, no_docs):
