@@ -35,8 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-    The smallest doc_id stays. Texts without words stand alone and stay; rows
-    without doc_id go; of rows that repeat a doc_id one stays.
+    The smallest doc_id stays, a row without doc_id only where no other is in
+    its group. Texts without words stand alone and stay. Different texts of one
+    doc_id are told apart; of rows with the same doc_id and text one stays.
     """
     return one_of_each_group(docs, k=5, num=4, den=5)
 
@@ -45,8 +46,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row each time that a document is taken.
 
     Null sources are one source, last in order. Texts without words have size 0
-    and are not taken; rows without doc_id go. The last document of a source is
-    cut to the words that are left of its budget.
+    and are not taken. Rows without doc_id and different texts of one doc_id are
+    taken as planned. The last document of a source is cut to the words that are
+    left of its budget.
     """
     return mixed(docs)
 
@@ -58,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: SQL has no compression, kernel scores or BPE. Near duplicates are tested against brute force, the other stages against their operators.
+#: SQL has no compression, kernel scores or BPE. The tests hold each stage's rows against a plain version; quality against its operator's scores.
 ORACLE_SQL = None
 
 
